@@ -39,7 +39,7 @@ SCHEMAS = {
     "inputs array<struct<param_name:string,raw:string>>, outputs array<struct<param_name:string,store_in:string>>, "
     "steps array<struct<element_id:string,action:string,store_in:string,raw:string>>, source_ref string",
     "edges": "release_id string, owner_id string, page_id string, src string, dst string, kind string, "
-    "label string, edge_pos int",
+    "label string, edge_pos bigint",
     "data_items": "release_id string, owner_id string, owner_type string, item_id string, name string, "
     "data_type string, initial_value string, exposure string, fields array<struct<name:string,data_type:string>>, "
     "page_id string, stage_id string, item_pos int, source_ref string",

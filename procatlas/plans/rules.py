@@ -51,7 +51,7 @@ def rule_sec_002(spark, sf):
     return _found(spark, sf, security.sec_002)
 
 
-@query("rule_sec_003_texts", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\b\\d{3}-\\d{2}-\\d{4}\\b') OR role <> 'user' AND length(regexp_replace(concat('[', role, ' card number] ', substr(text, 1, 0)), 'tool', '')) < 0 OR role = 'assistant' AND turn % 2 = 1")
+@query("rule_sec_003_texts", "SELECT conv_id, turn FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\b\\d{3}-\\d{2}-\\d{4}\\b') OR role = 'assistant' AND turn % 2 = 1")
 def rule_sec_003_texts(spark, sf):
     """Turns as stages: user turns are notes with their text, others alerts that name a reference."""
     from procatlas.model import Estate
