@@ -13,6 +13,7 @@ from procatlas.model import OWNER, PAGE, STAGE, Estate
 from procatlas.operators import graph, naming
 from procatlas.operators.score import coverage_pct
 from procatlas.operators.select import uses_queues
+from procatlas.session import cut, written
 
 # Target attribute per mode and source attribute, tag per mode.
 ATTRIBUTES = {
@@ -183,7 +184,7 @@ def queue_params(stages: DataFrame, items: DataFrame) -> DataFrame:
     known = items.where((F.col("data_type") == "collection") & (F.size("fields") > 0)).select(*OWNER, F.col("name").alias("item")).distinct()
     calls = stages.where(F.col("kind") == "subsheetRef").select(*PAGE, F.col("target_page_name").alias("callee"), F.explode("inputs").alias("i"))
     whole = r"^\s*\[([^\].]+)\]\s*$"
-    passed = calls.where(F.col("i.raw").rlike(whole)).select(
+    passed = calls.where((F.col("callee") != "") & F.col("i.raw").rlike(whole)).select(
         *PAGE, "callee", F.col("i.param_name").alias("param_name"), F.trim(F.regexp_extract("i.raw", whole, 1)).alias("item")
     )
     return passed.join(filled, [*PAGE, "item"]).join(known, [*OWNER, "item"], "left_semi").select(*OWNER, "callee", "param_name", "item").distinct()
@@ -237,7 +238,8 @@ def punch_list(estate: Estate, overrides: DataFrame | None = None) -> DataFrame:
     Only stages the flow leads to are listed.  ``overrides`` (stage keys, accepted)
     holds reviewed translations of code stages.
     """
-    seen = estate.stages.join(walked(estate.stages, estate.edges), [*PAGE, "stage_id"], "left_semi")
+    # written once: every reason below reads a few columns of it
+    seen = written(estate.stages.join(walked(estate.stages, estate.edges), [*PAGE, "stage_id"], "left_semi"), "walked")
     base = [*STAGE, "page_name", "name", "kind", "source_ref"]
     role = t.queue_action_class("action_name")
     rows = []
@@ -275,7 +277,7 @@ def punch_list(estate: Estate, overrides: DataFrame | None = None) -> DataFrame:
     add(on.where("strategy = 'selector' and confidence < 0.5"), "weak-selector", F.format_string('The selector of element "%s" has confidence %.2f', "eid", "confidence"))
     add(on.where((F.col("kind") == "navigate") & ~F.lower("s.action").startswith("click")), "navigate-action", F.format_string('Action "%s" became a click', "s.action"))
     heads = graph.cycles(seen, estate.edges).where("head = stage_id").select(*PAGE, "stage_id")
-    absorbed = graph.polling_loops(estate.stages, estate.edges)
+    absorbed = cut(graph.polling_loops(estate.stages, estate.edges))
     plain_cycles = seen.join(heads, [*PAGE, "stage_id"], "left_semi").join(absorbed, list(PAGE), "left_anti")
     add(plain_cycles, "cycle", F.lit("The flow leads back to this stage"), True)
     add(seen.join(absorbed.select(*PAGE, F.col("mark_id").alias("stage_id")), [*PAGE, "stage_id"], "left_semi"), "absorbed-loop", F.lit("The polling loop became the framework's loop, check the status"))

@@ -60,7 +60,7 @@ def trailing_count(df: DataFrame, keys: Sequence[str], at: str, seconds: int, ou
     task holds two buckets of a key and never the key's whole history.
     """
     span = seconds * 1_000_000
-    micros = F.unix_micros(F.col(at))
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
     cut = df.withColumn("__t", micros).withColumn("__b", F.floor(micros / span))
     seen = cut.withColumn("__own", F.lit(True)).unionByName(
         cut.withColumn("__b", F.col("__b") + 1).withColumn("__own", F.lit(False))

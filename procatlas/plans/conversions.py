@@ -74,7 +74,7 @@ FROM (SELECT concat('P', CAST(k AS string)) AS owner_id, 27 + 7 * c AS stages, {
   FROM (SELECT o_orderkey AS k, o_orderstatus AS s, CAST(o_orderkey % 2 = 0 AS INT) AS c FROM orders))""")
 def effort_hours(spark, sf):
     e = xml_estate(spark, sf)
-    return conversion.effort_hours(e, conversion.punch_list(e)).select("owner_id", "stages", "punch", "selectors", "risky", "effort_hours")
+    return conversion.effort_hours(e, cut(conversion.punch_list(e))).select("owner_id", "stages", "punch", "selectors", "risky", "effort_hours")
 
 
 @query("stage_mapping", """

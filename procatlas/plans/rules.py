@@ -281,3 +281,5 @@ def credential_literals_in_documents(spark, sf):
     values = F.regexp_extract_all("text", F.lit(r'(?i)(?:password|passwd|secret|token|api_key)\s*[=:]\s*"([^"]*)"'), F.lit(1))
     rows = table(spark, sf, "documents").select("doc_id", F.size(F.filter(values, t.credential_strength)).cast("long").alias("n"))
     return rows.where("n > 0")
+
+SEVERITIES_SQL = "CASE c_custkey % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'info' END"
