@@ -66,9 +66,10 @@ def forbidden_values(items: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column, size: int) -> Column:
-    """Distinct pieces of the given length."""
-    last = F.length(text) - size + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: text.substr(i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    """Distinct pieces of the given length; the text is cut into characters once, so this is linear."""
+    chars = F.split(text, "")
+    pieces = F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, size)]))
+    return F.array_distinct(F.filter(pieces, lambda p: p.isNotNull()))
 
 
 def leaked_values(texts: DataFrame, values: DataFrame, keys: Sequence[str] = ("release_id",), size: int = MIN_DATA_VALUE) -> DataFrame:

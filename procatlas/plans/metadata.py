@@ -42,7 +42,7 @@ BASE = ",\n".join([
     _sql("processes", PROCESS, "customer"), _sql("members", MEMBER, "customer", distinct=True), _sql("workspaces", WORKSPACE, "nation"),
     "programs AS (SELECT DISTINCT concat(CAST(c_nationkey AS string), '-', c_mktsegment) AS id, CAST(c_nationkey AS string) AS workspace_id FROM customer)",
     "kids AS (SELECT o_orderkey AS id, concat('id', CAST(o_custkey AS string)) AS process_id FROM orders)",
-    "audit AS (SELECT event_id AS id, CAST(user_id % 25 AS string) AS workspace_id, event_type AS event, ts AS at, CASE WHEN user_id % 7 = 0 THEN NULL ELSE concat('actor-', CAST(user_id AS string)) END AS actor FROM events)",
+    "audit AS (SELECT event_id AS id, CAST(user_id % 25 AS string) AS workspace_id, event_type AS event, ts AS audit_at, CASE WHEN user_id % 7 = 0 THEN NULL ELSE concat('actor-', CAST(user_id AS string)) END AS actor FROM events)",
 ])
 
 
@@ -126,7 +126,7 @@ def status_changes(spark, sf):
 
 
 NOW = "2024-01-31 00:00:00"
-PRUNED = f"audit.workspace_id = workspaces.id AND (retention_days IS NULL OR at >= TIMESTAMP '{NOW}' - to_days(retention_days))"
+PRUNED = f"audit.workspace_id = workspaces.id AND (retention_days IS NULL OR audit_at >= TIMESTAMP '{NOW}' - to_days(retention_days))"
 
 
 @query("prune_audit", _with(f"SELECT audit.id, workspace_id FROM audit JOIN workspaces ON {PRUNED}"))
@@ -163,7 +163,7 @@ def purge_workspace(spark, sf):
 
 @query("purge_events", _with(f"""
 SELECT w.workspace_id, concat('{{"programs_deleted":', CAST((SELECT count(*) FROM programs p WHERE p.workspace_id = w.workspace_id) AS string), ',"audit_events_pruned":',
-  CAST((SELECT count(*) FROM audit a WHERE a.workspace_id = w.workspace_id) - (SELECT count(*) FROM audit a JOIN workspaces s ON s.id = a.workspace_id WHERE a.workspace_id = w.workspace_id AND (retention_days IS NULL OR at >= TIMESTAMP '{NOW}' - to_days(retention_days))) AS string),
+  CAST((SELECT count(*) FROM audit a WHERE a.workspace_id = w.workspace_id) - (SELECT count(*) FROM audit a JOIN workspaces s ON s.id = a.workspace_id WHERE a.workspace_id = w.workspace_id AND (retention_days IS NULL OR audit_at >= TIMESTAMP '{NOW}' - to_days(retention_days))) AS string),
   CASE WHEN s.retention_days IS NULL THEN '' ELSE concat(',"retention_days":', CAST(s.retention_days AS string)) END, '}}') AS detail
 FROM (SELECT {PURGED}) w JOIN workspaces s ON s.id = w.workspace_id"""))
 def purge_events(spark, sf):
