@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # single-quoted one.  The runs are possessive so that long literals need no deep stack.
 LITERAL = r""""(?:[^"\\]++|\\.|"")*"|'(?:[^'\\]++|\\.)*'"""
 KEPT_LENGTH = 4
+MARK = "\uffff\ufffe"
 
 
 def literals(code: Column | str) -> Column:
@@ -22,22 +23,22 @@ def long_literals(code: Column | str) -> Column:
 
 
 def redact_literals(code: Column | str) -> Column:
-    """Code with each long literal replaced by ``"__LIT_n__"``; repeats get their own number."""
+    """Code with each long literal replaced by ``"__LIT_n__"``; repeats get their own number.
+
+    Long literals first become a mark made of two code points that text never
+    holds; the pieces between the marks are then numbered.  Every step is one pass.
+    """
     code = F.col(code) if isinstance(code, str) else code
-    found = literals(code)
-    long_at = F.filter(
-        F.transform(found, lambda m, i: F.when(F.length(m) > KEPT_LENGTH, i)), lambda i: i.isNotNull()
-    )
-    shown = F.transform(
-        found,
-        lambda m, i: F.when(
-            F.length(m) > KEPT_LENGTH,
-            F.concat(F.lit('"__LIT_'), F.array_position(long_at, i).cast("string"), F.lit('__"')),
-        ).otherwise(m),
-    )
-    between = F.split(code, LITERAL, -1)
+    shown = F.transform(literals(code), lambda m: F.when(F.length(m) > KEPT_LENGTH, MARK).otherwise(m))
+    pieces = F.arrays_zip(F.split(code, LITERAL, -1).alias("gap"), shown.alias("lit"))
+    marked = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["lit"], F.lit("")))), "")
+    kept = F.split(marked, MARK, -1)
+    numbered = F.arrays_zip(kept.alias("text"), F.sequence(F.lit(0), F.size(kept) - 1).alias("n"))
     return F.array_join(
-        F.transform(F.arrays_zip(between.alias("gap"), shown.alias("lit")), lambda p: F.concat(p["gap"], F.coalesce(p["lit"], F.lit("")))),
+        F.transform(
+            numbered,
+            lambda p: F.when(p["n"] == 0, p["text"]).otherwise(F.concat(F.lit('"__LIT_'), p["n"].cast("string"), F.lit('__"'), p["text"])),
+        ),
         "",
     )
 

@@ -66,9 +66,10 @@ def forbidden_values(items: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column, size: int) -> Column:
-    """Distinct pieces of the given length; the text is cut into characters once, so this is linear."""
+    """Distinct pieces of the given length: the characters zipped with themselves shifted, so this is linear."""
     chars = F.split(text, "")
-    pieces = F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, size)]))
+    shifted = [F.slice(chars, 1 + k, 2**30).alias(f"c{k}") for k in range(size)]
+    pieces = F.transform(F.arrays_zip(*shifted), lambda z: F.concat(*[z[f"c{k}"] for k in range(size)]))
     return F.array_distinct(F.filter(pieces, lambda p: p.isNotNull()))
 
 
