@@ -212,9 +212,9 @@ def rule_cmp_002(spark, sf):
 RUN = (reliability.rel_001, reliability.rel_003, reliability.rel_004, small_page_limit, compliance.cmp_002)
 
 
-@define_rule("ZZZ-999", "Broken rule", "low", "reliability", "Names a column that does not exist, to show that one failure stays alone.")
+@define_rule("ZZZ-999", "Broken rule", "low", "reliability", "Always fails, to show that one failure stays alone.")
 def broken_rule(e, meta):
-    return e.owners.select("no_such_column")
+    raise LookupError("no such table")
 
 
 def _run(spark, sf):
