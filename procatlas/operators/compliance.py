@@ -31,7 +31,7 @@ def exposed_queue_items(estate: Estate) -> DataFrame:
     )
     refs = open_adds.select(
         *STAGE, "owner_type", F.col("name").alias("stage_name"), "queue_name",
-        F.explode(F.array_distinct(t.base_refs(data[0]["raw"]))).alias("name"),
+        F.explode(F.array_distinct(t.base_refs(F.get(data, F.lit(0))["raw"]))).alias("name"),
     )
     sensitive = F.filter(F.transform("fields", lambda f: f["name"]), t.is_sensitive_name)
     # several items of one name: the first one counts, sensitive or not

@@ -30,7 +30,7 @@ def initial_values(estate: Estate) -> DataFrame:
 def sec_001(estate: Estate, meta) -> DataFrame:
     value = t.whole_literal("i.raw")
     inputs = call_inputs(estate).where(t.is_credential_name("i.param_name") & t.credential_strength(value))
-    value = t.whole_literal(F.col("exprs")[0]["raw"])
+    value = t.whole_literal(F.get("exprs", F.lit(0))["raw"])
     stores = estate.stages.where(
         (F.col("kind") == "calculation") & t.is_credential_name("store_in") & t.credential_strength(value)
     )
@@ -65,7 +65,7 @@ def sec_002(estate: Estate, meta) -> DataFrame:
 @define_rule("SEC-003", "Personal data in logs", "high", "security",
              "An alert or note shows social security, account or card data.")
 def sec_003(estate: Estate, meta) -> DataFrame:
-    raw = F.col("exprs")[0]["raw"]
+    raw = F.get("exprs", F.lit(0))["raw"]
     named = F.array_distinct(F.filter(t.identifier_refs(raw), t.is_sensitive_name))
     digits = F.array(F.lit("SSN literal"))
     none = F.array().cast("array<string>")

@@ -23,7 +23,7 @@ def identifier_refs(spark, sf):
 @query("base_identifier", f"SELECT p_partkey, split_part(regexp_extract({PART_RAW}, '\\[([^\\]]+)\\]', 1), '.', 1) AS base FROM part")
 def base_identifier(spark, sf):
     raw = table(spark, sf, "part").select("p_partkey", F.expr(PART_RAW).alias("raw"))
-    return raw.select("p_partkey", t.base_refs("raw")[0].alias("base"))
+    return raw.select("p_partkey", F.get(t.base_refs("raw"), F.lit(0)).alias("base"))
 
 
 LITERAL_RAW = "concat(CASE WHEN p_size % 2 = 0 THEN ' ' ELSE '' END, '\"', p_name, '\"', CASE WHEN p_size % 3 = 0 THEN ' & \"x\"' ELSE ' ' END)"

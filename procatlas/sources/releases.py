@@ -385,7 +385,7 @@ def queues_of(heads: DataFrame) -> DataFrame:
     rows = heads.select("release_id", F.posexplode("queues").alias("queue_pos", "q"))
     return rows.select(
         "release_id", _some(F.col("q._id")).alias("queue_id"), _s("q._name").alias("name"), _some(F.col("q.keyfield")).alias("key_field"),
-        F.expr("try_cast(nullif(q.maxattempts, '') AS double)").cast("int").alias("max_attempts"),
+        F.expr("try_cast(try_cast(nullif(q.maxattempts, '') AS double) AS int)").alias("max_attempts"),
         F.when(_s("q.encrypted") != "", F.col("q.encrypted") == "true").alias("encrypted"), F.col("queue_pos").cast("int").alias("queue_pos"),
     )
 
