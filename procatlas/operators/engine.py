@@ -140,9 +140,10 @@ def resolve_names(findings: DataFrame, estate: Estate) -> DataFrame:
     )
     owners = estate.owners.select("release_id", "owner_id", "owner_type", F.col("name").alias("owner_name"))
     pages = estate.pages.select("release_id", "owner_id", "page_id", F.col("name").alias("page_name"))
-    stages = estate.stages.select(
-        "release_id", "owner_id", "page_id", "stage_id", F.col("name").alias("stage_name")
-    )
+    # only the stages that some finding names go on; a short list of findings is broadcast by size
+    place = ["release_id", "owner_id", "page_id", "stage_id"]
+    named = f.where("stage_id is not null").select(*place).distinct()
+    stages = estate.stages.select(*place, F.col("name").alias("stage_name")).join(named, place, "left_semi")
     elements = estate.elements.select(
         "release_id", "owner_id", "element_id", F.col("name").alias("element_name")
     )

@@ -9,6 +9,7 @@ stage so that its rows stay spread over the cluster.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from procatlas.model import PAGE
 from procatlas.session import cut, written
 
 PAGE_CAP = 50_000
+ROUNDS_KEPT = 16
 SEP = "\u0001"
 PACKED = "g string, a string, b string, pos int, seed boolean"
 
@@ -159,14 +161,17 @@ def reach_rounds(edges: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> Dat
     on = [k for k in keys if k in edges.columns]
     steps = edges.select(*on, F.col("src").alias("node"), "dst").distinct()
     frontier = cut(seeds.select(*keys, "node").distinct())
-    reached = frontier
+    found = [frontier]
     while not frontier.isEmpty():
+        reached = reduce(DataFrame.unionByName, found)
         ahead = (
             frontier.join(steps, [*on, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
         )
         frontier = cut(ahead.join(reached, [*keys, "node"], "left_anti"))
-        reached = cut(reached.unionByName(frontier))
-    return reached
+        found.append(frontier)
+        if len(found) > ROUNDS_KEPT:  # merge what many rounds left behind
+            found = [cut(reduce(DataFrame.unionByName, found).coalesce(max(frontier.rdd.getNumPartitions(), 1)))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def _on_page(edges: DataFrame, nodes: DataFrame) -> DataFrame:

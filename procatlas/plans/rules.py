@@ -256,7 +256,7 @@ def order_findings(spark, sf):
 
     findings, _ = run_rules(estate(spark, sf), [reliability.rel_001, small_page_limit, reliability.rel_004])
     keyed = findings.select(severity_rank("severity").alias("rank"), "rule_id", location_key().alias("location_key"), F.lit(0).alias("all"))
-    first = F.substring("location_key", 1, 3)
+    first = F.substring("location_key", 1, 6)
     placed = numbered(keyed, ["all"], ["rank", "rule_id", "location_key"], [F.col("rank"), F.col("rule_id"), first], "place")
     return placed.select("rule_id", "location_key", F.col("place").cast("long").alias("place"))
 

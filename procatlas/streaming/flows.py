@@ -21,11 +21,9 @@ from procatlas.sources import files, releases
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_trigger: int | None = None) -> DataFrame:
+def read_events(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_trigger: int = 64) -> DataFrame:
     """The event table as a stream; ``at`` is its event time."""
-    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", glob)
-    if files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
 
 
