@@ -170,7 +170,8 @@ def reach_rounds(edges: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> Dat
         frontier = cut(ahead.join(reached, [*keys, "node"], "left_anti"))
         found.append(frontier)
         if len(found) > ROUNDS_KEPT:  # merge what many rounds left behind
-            found = [cut(reduce(DataFrame.unionByName, found).coalesce(max(frontier.rdd.getNumPartitions(), 1)))]
+            partitions = int(frontier.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            found = [cut(reduce(DataFrame.unionByName, found).coalesce(partitions))]
     return reduce(DataFrame.unionByName, found)
 
 

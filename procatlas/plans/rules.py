@@ -168,12 +168,41 @@ def object_similarity(spark, sf):
     return similarity.object_similarity(pairs, tokens).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-# the greedy walk is sequential, so it has no check SQL; tests compare it with a plain loop
-@query("rule_mnt_003")
+# The walk in document order, one object per step in every release at once.
+WALK = BAGS + """,
+objs AS (SELECT release_id, owner_id, pos, row_number() OVER (PARTITION BY release_id ORDER BY pos) AS i FROM size),
+near AS (SELECT b AS owner_id, list(a_pos) AS earlier FROM sims WHERE similarity > 0.85 GROUP BY b),
+walk AS (SELECT DISTINCT release_id, CAST(0 AS BIGINT) AS i, CAST([] AS INT[]) AS kept, CAST(NULL AS string) AS owner_id, CAST(NULL AS INT) AS canonical FROM objs
+  UNION ALL SELECT w.release_id, o.i, CASE WHEN len(list_intersect(w.kept, coalesce(n.earlier, CAST([] AS INT[])))) > 0 THEN w.kept ELSE list_append(w.kept, o.pos) END, o.owner_id,
+    list_min(list_intersect(w.kept, coalesce(n.earlier, CAST([] AS INT[])))) FROM walk w JOIN objs o ON o.release_id = w.release_id AND o.i = w.i + 1 LEFT JOIN near n ON n.owner_id = o.owner_id)"""
+
+
+@query("rule_mnt_003", _rule_sql("SELECT release_id, owner_id, NULL AS page_id, NULL AS stage_id, NULL AS element_id FROM walk WHERE canonical IS NOT NULL", "MNT-003", "medium", 0.8, True, WALK))
 def rule_mnt_003(spark, sf):
     return _found(spark, sf, maintenance.mnt_003)
 
 
+@query("near_duplicates", with_cte("SELECT w.owner_id, concat('O', CAST(canonical AS string)) AS canonical_id, round(similarity, 6) AS similarity FROM walk w JOIN sims s ON s.b = w.owner_id AND s.a_pos = w.canonical AND s.release_id = w.release_id WHERE canonical IS NOT NULL", True, WALK))
+def near_duplicates(spark, sf):
+    found = similarity.near_duplicates(similarity.structure_tokens(estate(spark, sf)))
+    return found.select("owner_id", "canonical_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("greedy_dedupe", """
+WITH RECURSIVE pairs AS (SELECT DISTINCT CAST(floor(o_orderkey / 100) AS BIGINT) AS g, o_custkey AS a, (o_custkey * 7 + 3) % 1000 AS b FROM orders), p AS (SELECT DISTINCT g, least(a, b) AS a, greatest(a, b) AS b FROM pairs WHERE a <> b),
+nodes AS (SELECT g, n, row_number() OVER (PARTITION BY g ORDER BY n) AS i FROM (SELECT g, a AS n FROM p UNION SELECT g, b FROM p)), near AS (SELECT g, b, list(a) AS earlier FROM p GROUP BY g, b),
+walk AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS canonical FROM nodes
+  UNION ALL SELECT w.g, o.i, CASE WHEN len(list_intersect(w.kept, coalesce(e.earlier, CAST([] AS BIGINT[])))) > 0 THEN w.kept ELSE list_append(w.kept, o.n) END, o.n, list_min(list_intersect(w.kept, coalesce(e.earlier, CAST([] AS BIGINT[]))))
+  FROM walk w JOIN nodes o ON o.g = w.g AND o.i = w.i + 1 LEFT JOIN near e ON e.g = w.g AND e.b = o.n)
+SELECT g, n AS owner_id, canonical AS canonical_id FROM walk WHERE canonical IS NOT NULL""")
+def greedy_dedupe(spark, sf):
+    """Pairs of customers within a hundred orders, as if they were similar."""
+    made = table(spark, sf, "orders").selectExpr("CAST(floor(o_orderkey / 100) AS BIGINT) AS release_id", "o_custkey AS x", "(o_custkey * 7 + 3) % 1000 AS y").where("x <> y")
+    pairs = made.select("release_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = similarity.greedy_dedupe(pairs.withColumn("a_pos", F.col("a")).withColumn("b_pos", F.col("b")))
+    return found.withColumnRenamed("release_id", "g")
+
+
 PAGE_LIMIT = 8
 OVERSIZE_BODY = f"SELECT release_id, owner_id, NULL AS page_id, NULL AS stage_id, NULL AS element_id FROM (SELECT release_id, owner_id, page_id, count(*) AS n FROM st GROUP BY ALL) GROUP BY release_id, owner_id HAVING sum(n) > 150 OR bool_or(n > {PAGE_LIMIT})"
 

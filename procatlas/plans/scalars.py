@@ -255,3 +255,59 @@ def decide_layout(spark, sf):
 @query("first_queue", with_cte("SELECT owner_id, arg_min(queue_name, page_index * 1000 + stage_pos) AS queue_name FROM st WHERE queue_name IS NOT NULL GROUP BY owner_id"))
 def first_queue(spark, sf):
     return select.first_queue(estate(spark, sf).stages).select("owner_id", "queue_name")
+
+
+# --- expression functions ----------------------------------------------------
+
+
+@query("expression_text", """
+SELECT p_partkey, CAST(length(p_name) AS INT) AS len, upper(p_name) AS upper_, lower(p_brand) AS lower_, trim(concat('  ', p_name, ' ')) AS trimmed, ltrim(concat('  ', p_name, ' ')) AS trim_start, rtrim(concat('  ', p_name, ' ')) AS trim_end,
+  left(p_name, 3) AS left_, right(p_name, 3) AS right_, substr(p_name, 2, 4) AS mid, CAST(instr(p_name, ' ') AS INT) AS instr_, replace(p_name, 'e', 'E') AS replaced, chr(CAST(65 + p_size % 26 AS INT)) AS chr_, CAST(ascii(p_name) AS INT) AS asc_,
+  TRY_CAST(replace(p_brand, 'Brand#', '') AS DOUBLE) IS NOT NULL AS is_number, TRY_CAST(p_brand AS DOUBLE) IS NOT NULL AS is_not, starts_with(p_name, 'red') AS starts, ends_with(p_name, 'ring') AS ends_, contains(p_name, 'l') AS contains_, concat(p_name, p_brand) AS joined
+FROM part""")
+def expression_text(spark, sf):
+    from procatlas.functions.expressions import FUNCTIONS as X
+    from procatlas.functions.expressions import OPERATORS
+
+    name, brand, padded = F.col("p_name"), F.col("p_brand"), F.concat(F.lit("  "), "p_name", F.lit(" "))
+    return table(spark, sf, "part").select(
+        "p_partkey", X["len"](name).alias("len"), X["upper"](name).alias("upper_"), X["lower"](brand).alias("lower_"), X["trim"](padded).alias("trimmed"),
+        X["trimstart"](padded).alias("trim_start"), X["trimend"](padded).alias("trim_end"), X["left"](name, F.lit(3)).alias("left_"), X["right"](name, F.lit(3)).alias("right_"),
+        X["mid"](name, F.lit(2), F.lit(4)).alias("mid"), X["instr"](name, F.lit(" ")).alias("instr_"), X["replace"](name, F.lit("e"), F.lit("E")).alias("replaced"),
+        X["chr"](65 + F.col("p_size") % 26).alias("chr_"), X["asc"](name).alias("asc_"), X["isnumber"](F.regexp_replace(brand, "Brand#", "")).alias("is_number"), X["isnumber"](brand).alias("is_not"),
+        X["startswith"](name, F.lit("red")).alias("starts"), X["endswith"](name, F.lit("ring")).alias("ends_"), X["contains"](name, F.lit("l")).alias("contains_"), OPERATORS["&"](name, brand).alias("joined"),
+    )
+
+
+@query("expression_math", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, abs(l_quantity - 25) AS abs_, round(sqrt(l_quantity), 6) AS sqrt_, round(ln(l_quantity), 6) AS log_, round_even(l_quantity / 2, 0) AS round_, CAST(ceil(l_quantity / 4) AS BIGINT) AS up, CAST(floor(l_quantity / 4) AS BIGINT) AS down,
+  pow(l_linenumber, 2) AS power, l_quantity * 2 - 1 > 20 OR NOT l_linenumber = 3 AS logic, TRY_CAST(CAST(l_linenumber AS string) AS DOUBLE) AS number FROM lineitem""")
+def expression_math(spark, sf):
+    from procatlas.functions.expressions import FUNCTIONS as X
+    from procatlas.functions.expressions import OPERATORS as O
+
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", X["abs"](O["-"](q, F.lit(25))).alias("abs_"), F.round(X["sqrt"](q), 6).alias("sqrt_"), F.round(X["log"](q), 6).alias("log_"),
+        X["round"](O["/"](q, F.lit(2))).alias("round_"), X["rndup"](q / 4).alias("up"), X["rnddn"](q / 4).alias("down"), O["^"](n, F.lit(2)).alias("power"),
+        O["or"](O[">"](O["-"](O["*"](q, F.lit(2)), F.lit(1)), F.lit(20)), ~O["="](n, F.lit(3))).alias("logic"), X["tonumber"](n.cast("string")).alias("number"),
+    )
+
+
+@query("expression_dates", """
+SELECT o_orderkey, strftime(o_orderdate + INTERVAL 2 YEARS, '%Y-%m-%d') AS years, strftime(o_orderdate + INTERVAL 3 MONTHS, '%Y-%m-%d') AS quarter_, strftime(o_orderdate + to_months(CAST(o_custkey % 20 AS INT)), '%Y-%m-%d') AS months, strftime(o_orderdate + to_days(CAST(7 * (o_custkey % 9) AS INT)), '%Y-%m-%d') AS weeks,
+  strftime(o_orderdate + to_hours(o_custkey % 50), '%Y-%m-%d %H') AS hours, CAST(round_even(date_diff('second', o_orderdate, o_orderdate + to_hours(o_custkey % 50)) / 86400.0, 0) AS BIGINT) AS days_between, CAST(date_diff('month', o_orderdate, TIMESTAMP '2001-01-15') AS BIGINT) AS months_between,
+  CAST(date_diff('year', o_orderdate, TIMESTAMP '2001-01-15') AS BIGINT) AS years_between, CAST(date_diff('quarter', o_orderdate, TIMESTAMP '2001-01-15') AS BIGINT) AS quarters_between, strftime(o_orderdate, '%d/%m/%Y') AS formatted FROM orders""")
+def expression_dates(spark, sf):
+    from procatlas.functions.expressions import FUNCTIONS as X
+
+    d, c = F.col("o_orderdate").cast("timestamp"), F.col("o_custkey")
+    end = F.lit("2001-01-15 00:00:00").cast("timestamp")
+    day = lambda col: F.date_format(col, "yyyy-MM-dd")
+    later = X["dateadd"]("h", c % 50, d)
+    return table(spark, sf, "orders").select(
+        "o_orderkey", day(X["dateadd"]("yyyy", F.lit(2), d)).alias("years"), day(X["dateadd"]("q", F.lit(1), d)).alias("quarter_"), day(X["dateadd"]("m", c % 20, d)).alias("months"),
+        day(X["dateadd"]("ww", c % 9, d)).alias("weeks"), F.date_format(later, "yyyy-MM-dd HH").alias("hours"), X["datediff"]("d", d, later).alias("days_between"),
+        X["datediff"]("m", d, end).alias("months_between"), X["datediff"]("yyyy", d, end).alias("years_between"), X["datediff"]("q", d, end).alias("quarters_between"),
+        X["formatdate"](d, "dd/MM/yyyy").alias("formatted"),
+    )

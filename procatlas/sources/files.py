@@ -14,15 +14,19 @@ HEAD_CHARS = 4096
 HEAD_MARKERS = ("<bpr:release", "<process")
 
 
-def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(file, size_bytes, content) of every file; a file is one row."""
+def read_files(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(file, size_bytes, content) of every file; a file is one row.
+
+    Files over the limit keep their row for the gate, but their content is never read.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
-    return files.select(
-        F.col("path").alias("file"), F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content")
-    )
+    found = reader.load(path)
+    head = [F.col("path").alias("file"), F.col("length").alias("size_bytes")]
+    small = found.where(F.col("length") <= max_bytes).select(*head, F.col("content").cast("string").alias("content"))
+    large = found.where(F.col("length") > max_bytes).select(*head, F.lit(None).cast("string").alias("content"))
+    return small.unionByName(large)
 
 
 def looks_like_export(content: Column) -> Column:

@@ -78,3 +78,13 @@ def test_mean_is_rounded_half_up(spark):
     got = rows.agg(score.average_score().alias("s"), score.worst_grade().alias("g")).first()
     assert tuple(got) == (2, "C")
     assert rows.where(F.lit(False)).agg(score.worst_grade().alias("g")).first().g == "—"
+
+
+def test_large_files_are_gated_without_their_content(spark, tmp_path):
+    from procatlas.sources.files import intake_gate, read_files, split_accepted
+
+    (tmp_path / "ok.xml").write_text('<process name="a"/>')
+    (tmp_path / "big.xml").write_text('<process name="b"/>' + " " * 100)
+    accepted, rejected = split_accepted(intake_gate(read_files(spark, str(tmp_path), max_bytes=50), 50))
+    assert [r.content for r in accepted.collect()] == ['<process name="a"/>']
+    assert [r.reason for r in rejected.collect()] == ['"big.xml" is 119 B, the limit is 50 B']
