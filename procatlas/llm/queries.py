@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from procatlas.llm import exact_dedup, language, mixing, near_dedup, packing
+from procatlas.llm import exact_dedup, html_blocks, language, mixing, near_dedup, packing, records, topk, toxicity, url_rules
+from procatlas.llm.store import place
 from procatlas.plans.registry import Query
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 VOCABULARY = "byte_bpe_50k.json"
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -38,11 +40,34 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
+def page_document(url: Column) -> Column:
+    """The number of the document that a page shows, which its path ends with."""
+    return F.regexp_extract(url_rules.path_of(url), r"/([0-9]+)(?:\.html|/)?$", 1).try_cast("long")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 0
+    model = toxicity.fit(docs.filter(~held_out), table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(model, F.col("text"))
+    return docs.select("doc_id", held_out.alias("held_out"), scored.alias("scored")).select("doc_id", "held_out", "scored.score", "scored.predicted")
+
+
 @query("op2_minhash_near_dedup")
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+@query("op3_url_rules")
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the quality of the document it shows."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    quality = table(spark, sf_dir, "labels").filter("quality in (0, 1)").select(F.col("doc_id").alias("shown"), F.when(F.col("quality") == 0, url_rules.BLOCK).otherwise(url_rules.ALLOW).alias("label"))
+    labelled = pages.select("url", page_document(F.col("url")).alias("shown")).join(quality, "shown")
+    return url_rules.judge_urls(pages, url_rules.mine(labelled), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
 @query("op4_language_id")
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +77,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), judged.alias("judged")).select("doc_id", "held_out", "judged.*")
 
 
+@query("op5_html_blocks")
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labeller learns from pages whose document is in the table."""
+    pages = table(spark, sf_dir, "pages")
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("shown"), F.col("text").alias("truth"))
+    asked = pages.select("html", page_document(F.col("url")).alias("shown")).orderBy(F.xxhash64("html"), "html").limit(600)
+    model = html_blocks.fit(asked.join(known, "shown"))
+    found = html_blocks.extract_text(model, F.col("html"))
+    return pages.select("page_id", "url", found.alias("found")).select("page_id", "url", "found.text", F.length("found.text").cast("long").alias("n_chars"))
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
@@ -72,6 +108,31 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+@query("op8_threshold_top_k", """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op8_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_binary_records")
+def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = place(docs, "records")
+    records.write_records(docs, folder, vocabulary())
+    found = records.read_records(spark, folder)
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op10_mixing")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
