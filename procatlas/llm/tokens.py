@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+import struct
 
-import numpy as np
 from procatlas.llm.store import per_process
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-# A byte-level BPE never merges across the place where a run of blanks and line feeds begins, so a text is the
-# sequence of its chunks. Only texts whose white space is nothing but these two characters are cut that way.
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+# A byte-level BPE never merges across the place where a run of blanks and line feeds begins, nor between a letter or a
+# digit and a mark that ends the word. So a text is the sequence of its chunks. Only texts whose white space is nothing but
+# these two characters are cut that way.
+_SIMPLE = "A-Za-zÀ-ÖØ-öø-ÿ"
+_CHUNK = re.compile(rf"[ \n]*(?:[{_SIMPLE}0-9]+(?=[.,;:!?](?:[ \n]|\Z))|[^ \n]+)|[ \n]+")
+_ONE_WORD = re.compile(rf" ?[{_SIMPLE}]+")
 _OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 
 
@@ -22,6 +25,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes that have no visible character of their own: by letters from 256 on, in order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in visible)}
+
+
 class _Memo(dict):
     """Ids of each chunk seen, as little-endian unsigned 32-bit integers; emptied when ``limit`` is reached."""
 
@@ -41,19 +50,31 @@ class _Memo(dict):
 class Encoder:
     """Encodes texts with a vocabulary file of the ``tokenizers`` library, without special tokens.
 
-    Each distinct chunk is encoded once per process; a text with other white space than blanks and line feeds, or
-    with the literal text of an added token, is encoded whole. Both give the ids of the whole text.
+    Each distinct chunk is encoded once per process, and a chunk that is one word goes to the library's model without the
+    steps before it; a text with other white space than blanks and line feeds, or with the literal text of an added
+    token, is encoded whole. All give the ids of the whole text.
     """
 
-    def __init__(self, vocabulary: str, memo: int = 400_000):
+    def __init__(self, vocabulary: str, memo: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = _Memo(self._whole, memo)
+        self.letters, self.words = _byte_letters(), self.tokenizer.model.tokenize
+        sample = " Größe"
+        self.plain = self.tokenizer.normalizer is None and self._word(sample) == self._whole(sample)
+        self.memo = _Memo(self._chunk, memo)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.words(word.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        return self._word(chunk) if self.plain and _ONE_WORD.fullmatch(chunk) else self._whole(chunk)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids; null and empty texts have none."""
