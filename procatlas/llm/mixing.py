@@ -2,8 +2,8 @@
 
 Documents are counted by (source, exact length); this histogram is all that a source's plan needs. Whole passes over
 a source come first, then an equal share of every length, then a bounded knapsack over the lengths that are left fits
-the rest of the budget. The plan says how many documents of a length are taken once more; these are the documents with
-the smallest seeded hashes. Documents of one length are ranked in hash ranges of a few thousand, so that a length with
+the rest of the budget. The plan says how many documents of a length are taken beyond the passes; all alike as far as that
+goes, then those with the smallest seeded hashes once more. Documents of one length are ranked in hash ranges of a few thousand, so that a length with
 a third of all rows is ranked by many tasks.
 """
 
@@ -21,35 +21,42 @@ MOST_PASSES = 3
 RANGE_ROWS = 4096
 
 
-def fit(sizes: list[int], counts: list[int], budget: int, dp_budget: int = 1 << 16) -> list[int]:
-    """How many of each size to take, at most ``counts``, so that their sum is ``budget`` or the nearest below found.
+def fit(sizes: list[int], counts: list[int], budget: int, most: int = 1, dp_budget: int = 1 << 16) -> list[int]:
+    """How many of each size to take, at most ``most`` times ``counts``, so that their sum comes nearest to ``budget``.
 
     First the floor of every size's share, then large sizes until at most ``dp_budget`` is left, then an exact bounded
-    knapsack over reachable sums, kept as bits of an integer, which ends as soon as the rest of the budget is reached.
+    knapsack over reachable sums, kept as bits of an integer, which ends as soon as the rest of the budget is reached. It
+    may end above the budget, by less than ``dp_budget``, where that is nearer.
     """
     total = sum(s * c for s, c in zip(sizes, counts))
-    if budget >= total:
-        return list(counts)
+    if budget >= most * total:
+        return [most * c for c in counts]
     if budget <= 0:
         return [0] * len(sizes)
-    take = [c * budget // total for c in counts]
+    take = [min(most * c, c * budget // total) for c in counts]
     rest = budget - sum(s * t for s, t in zip(sizes, take))
     order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: -sizes[i])
     for i in order:
         if rest <= dp_budget:
             break
-        more = min(counts[i] - take[i], rest // sizes[i], -(-(rest - dp_budget) // sizes[i]))
+        more = min(most * counts[i] - take[i], rest // sizes[i], -(-(rest - dp_budget) // sizes[i]))
         take[i] += more
         rest -= more * sizes[i]
-    reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
+    top = rest + dp_budget
+    reach, mask, steps = 1, (1 << (top + 1)) - 1, []
     for i in order:
-        left, chunk = min(counts[i] - take[i], rest // sizes[i]), 1
+        left, chunk = min(most * counts[i] - take[i], top // sizes[i]), 1
         while left > 0 and not reach >> rest & 1:
             many = min(chunk, left)
             steps.append((i, many, reach))
             reach |= (reach << many * sizes[i]) & mask
             left, chunk = left - many, chunk * 2
-    goal = reach.bit_length() - 1
+    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach >> (rest + 1)
+    goal = below
+    if below < rest and above:
+        over = rest + (above & -above).bit_length()
+        goal = over if over - rest < rest - below else below
     for i, many, before in reversed(steps):
         if not before >> goal & 1:
             take[i] += many
@@ -81,12 +88,13 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levels.select("source", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def _plan(histogram: DataFrame) -> DataFrame:
+def _plan(histogram: DataFrame, most: int) -> DataFrame:
     def fit_source(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size")
         size, target = int(rows["source_size"].iloc[0]), float(rows["target"].iloc[0])
         passes = int(target // size) if size else 0
-        extra = fit([int(s) for s in rows["size"]], [int(c) for c in rows["n"]], round(target) - passes * size)
+        extra = fit([int(s) for s in rows["size"]], [int(c) for c in rows["n"]], round(target) - passes * size, max(1, most - passes))
+        extra = extra if passes < most else [0] * len(rows)
         return rows.assign(passes=passes, extra=extra)[["key", "size", "n", "source_size", "target", "passes", "extra"]]
 
     return histogram.groupBy("key").applyInPandas(fit_source, "key string, size long, n long, source_size long, target double, passes int, extra long")
@@ -118,7 +126,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     slim = stored(slim, "mix-sizes")
     goals = targets(slim, weights, share, most).select(_text_key(F.col("source")).alias("key"), "source_size", "target")
     histogram = slim.groupBy("key", "size").agg(F.count("*").alias("n")).join(goals, "key")
-    plan = stored(_plan(histogram), "mix-plan")
+    plan = stored(_plan(histogram, most), "mix-plan")
     planned = slim.join(plan, ["key", "size"])
     ranges = F.ceil(F.col("n") / RANGE_ROWS)
     planned = planned.withColumn("range", F.pmod(F.shiftrightunsigned("draw", 16), ranges).cast("long"))
@@ -127,7 +135,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     starts = counts.select("key", "size", "range", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("key", "size", "range").orderBy("draw", "doc_id"))
     ranked = planned.withColumn("rank", rank).join(starts, ["key", "size", "range"])
-    times = F.col("passes") + F.when(F.col("before") + F.col("rank") <= F.col("extra"), 1).otherwise(0)
+    again = (F.col("before") + F.col("rank") <= F.col("extra") % F.col("n")).cast("int")
+    times = (F.col("passes") + F.floor(F.col("extra") / F.col("n")) + again).cast("int")
     return ranked.select("doc_id", F.col("key").alias("source_key"), "size", "source_size", "target", times.alias("times"), (F.col("size") * times).alias("taken"))
 
 
