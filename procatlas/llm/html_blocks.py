@@ -299,7 +299,7 @@ def varied(blocks: list[Leaf], labels: list[int], others: list[str], rng: random
     return [b for b, _ in out], [y for _, y in out]
 
 
-def train(pages: list[tuple[list[Leaf], list[int]]], epochs: int = 8, variants: int = 4, batch: int = 24, rate: float = 0.01, seed: int = 1) -> Model:
+def train(pages: list[tuple[list[Leaf], list[int]]], steps: int = 450, variants: int = 4, batch: int = 24, rate: float = 0.01, seed: int = 1) -> Model:
     """Fit by Adam on the pages and on ``variants`` other templates of each; without known content no block is content."""
     model, rng = Model.new(seed), random.Random(seed)
     pages = [(b, y) for b, y in pages if b and 1 in y]
@@ -312,21 +312,23 @@ def train(pages: list[tuple[list[Leaf], list[int]]], epochs: int = 8, variants:
     paths, words = _Buckets(PATHS), _Buckets(WORDS)
     made = sorted(((Sequence(b, paths, words), y) for b, y in every), key=lambda p: len(p[0]))
     first, second, count = {k: np.zeros_like(v) for k, v in model.weights.items()}, {k: np.zeros_like(v) for k, v in model.weights.items()}, 0
-    for epoch in range(epochs):
-        starts = list(range(0, len(made), batch))
-        rng.shuffle(starts)
-        for at in starts:
-            sequences, answers = zip(*made[at : at + batch])
-            labels = np.zeros((max(map(len, sequences)), len(sequences)), dtype=np.float32)
-            counted = np.zeros_like(labels)
-            for j, y in enumerate(answers):
-                labels[: len(y), j], counted[: len(y), j] = np.array(y) == 1, np.array(y) >= 0
-            count += 1
-            for k, g in model.gradients(list(sequences), labels, counted).items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                now = rate * (1 - epoch / epochs) + 1e-4
-                model.weights[k] -= (now * (first[k] / (1 - 0.9**count)) / (np.sqrt(second[k] / (1 - 0.99**count)) + 1e-8)).astype(np.float32)
+    starts: list[int] = []
+    for step in range(steps):
+        if not starts:
+            starts = list(range(0, len(made), batch))
+            rng.shuffle(starts)
+        at = starts.pop()
+        sequences, answers = zip(*made[at : at + batch])
+        labels = np.zeros((max(map(len, sequences)), len(sequences)), dtype=np.float32)
+        counted = np.zeros_like(labels)
+        for j, y in enumerate(answers):
+            labels[: len(y), j], counted[: len(y), j] = np.array(y) == 1, np.array(y) >= 0
+        count += 1
+        for k, g in model.gradients(list(sequences), labels, counted).items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            now = rate * (1 - step / steps) + 1e-4
+            model.weights[k] -= (now * (first[k] / (1 - 0.9**count)) / (np.sqrt(second[k] / (1 - 0.99**count)) + 1e-8)).astype(np.float32)
     return model
 
 

@@ -29,7 +29,7 @@ def features(word: str) -> list[str]:
 
 def sentence_words(text: str) -> list[set[str]]:
     """The distinct lowered words of each distinct sentence that has words."""
-    sentences = dict.fromkeys(_SENTENCE.findall(text))
+    sentences = dict.fromkeys(s.strip() for s in _SENTENCE.findall(text))
     return [words for words in (set(_WORD.findall(s.lower())) for s in sentences) if words]
 
 
@@ -64,7 +64,8 @@ class Model:
         seen, total, found = {}, 0.0, []
         for sentence in _SENTENCE.finditer(text or ""):
             raw = sentence.group()
-            score = seen.get(raw)
+            same = raw.strip()
+            score = seen.get(same)
             if score is None:
                 words = set(_WORD.findall(raw.lower()))
                 score = 0.0
@@ -72,7 +73,7 @@ class Model:
                     odds = self.bias + sum(map(weight, words))
                     total += odds + math.log1p(math.exp(-odds)) if odds > 0 else math.log1p(math.exp(odds))  # -log(1 - score)
                     score = 1.0 / (1.0 + math.exp(-odds)) if odds > -500 else 0.0
-                seen[raw] = score
+                seen[same] = score
             if score >= threshold:
                 found.append({"start": sentence.start(), "length": len(raw), "score": score})
         score = -math.expm1(-total)

@@ -39,9 +39,11 @@ def test_language_on_held_out_texts(spark, language_model):
 def test_language_rejects_narrow_margins_of_long_texts_only(language_model):
     rng = random.Random(3)
     mixed = " ".join(w for _ in range(200) for w in (rng.choice(cases.WORDS["de"]), rng.choice(cases.WORDS["fr"])))
-    strict = language.Model(language_model.languages, language_model.dictionaries, min_margin=0.2)
-    assert strict.judge(mixed)[3] and not strict.judge("der les")[3]
-    assert not strict.judge(cases.text(rng, "de", 30))[3]
+    clean = cases.text(rng, "de", 30)
+    narrow, wide = language_model.judge(mixed)[2], language_model.judge(clean)[2]
+    assert narrow < wide
+    strict = language.Model(language_model.languages, language_model.dictionaries, min_margin=(narrow + wide) / 2)
+    assert strict.judge(mixed)[3] and not strict.judge(clean)[3] and not strict.judge(mixed[:200])[3]
 
 
 def test_language_without_labels(spark):
