@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PATHS, WORDS, WIDTH, HIDDEN, PLAIN = 1024, 2048, 16, 16, 6
+MOST_CHARS = 40_000  # of a training page, and of its known text
 EXTRACTED = "text string, blocks array<struct<text:string,score:double>>"
 
 # Names of HTML elements, and names that pages usually give to their parts.
@@ -332,7 +333,7 @@ def train(pages: list[tuple[list[Leaf], list[int]]], steps: int = 450, variants:
     return model
 
 
-def fit(pages: DataFrame, html_column: str = "html", truth: str = "truth", max_pages: int = 200, max_chars: int = 40_000, **settings) -> Model:
+def fit(pages: DataFrame, html_column: str = "html", truth: str = "truth", max_pages: int = 200, max_chars: int = MOST_CHARS, **settings) -> Model:
     """Train on a bounded sample: of the pages with known text and at most ``max_chars`` characters the ``max_pages`` with the smallest hashes."""
     rows = pages.select(F.col(html_column).alias("html"), F.col(truth).alias("truth")).filter("html is not null and truth is not null")
     rows = rows.filter(F.length("html") + F.length("truth") <= max_chars)

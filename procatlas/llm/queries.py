@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from procatlas.llm import exact_dedup, html_blocks, language, mixing, near_dedup, packing, records, topk, toxicity, url_rules
-from procatlas.llm.store import place
+from procatlas.llm.store import place, stored
 from procatlas.plans.registry import Query
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,10 +79,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_html_blocks")
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labeller learns from pages whose document is in the table."""
-    pages = table(spark, sf_dir, "pages")
-    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("shown"), F.col("text").alias("truth"))
-    asked = pages.select("html", page_document(F.col("url")).alias("shown")).orderBy(F.xxhash64("html"), "html").limit(600)
+    """The labeller learns from pages whose document is in the table; of 600 pages that may have one, not more than fit() takes."""
+    pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
+    shown = page_document(F.col("url")).alias("shown")
+    asked = pages.filter((F.length("html") <= html_blocks.MOST_CHARS) & shown.isNotNull()).select("html", shown)
+    asked = stored(asked.orderBy(F.xxhash64("html"), "html").limit(600), "pages-asked")
+    ids = asked.select(F.col("shown").alias("doc_id")).distinct()
+    known = docs.filter(F.length("text") <= html_blocks.MOST_CHARS).join(F.broadcast(ids), "doc_id").groupBy(F.col("doc_id").alias("shown")).agg(F.min("text").alias("truth"))
     model = html_blocks.fit(asked.join(known, "shown"))
     found = html_blocks.extract_text(model, F.col("html"))
     return pages.select("page_id", "url", found.alias("found")).select("page_id", "url", "found.text", F.length("found.text").cast("long").alias("n_chars"))

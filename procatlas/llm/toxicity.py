@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from procatlas.llm.store import per_process
+from procatlas.llm.store import per_process, stored
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,19 +129,21 @@ def train(bags: list[list[set[str]]], labels: list[int], min_docs: int = 3, max_
     return Model(float(bias), {known[i]: float(weight[i]) for i in used})
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_label: int = 2000, most_words: int = 4000, **settings) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", per_label: int = 2000, most_chars: int = 24_000, **settings) -> Model:
     """Train from a bounded sample of labelled documents.
 
-    Of either label the ``per_label`` documents with the smallest hashes are taken, and of these the ones with at most
-    ``most_words`` words, so that the sample has a bound in bytes too. Each counts for as many labelled documents as it stands
-    for, so that scores fit the labels' real shares. Null labels and texts teach nothing.
+    Of the documents of either label with at most ``most_chars`` characters, so that the sample has a bound in bytes too, the
+    ``per_label`` with the smallest hashes are taken. Each counts for as many labelled documents as it stands for, so that
+    scores fit the labels' real shares. Null labels and texts teach nothing; an id that repeats teaches once.
     """
-    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("labelled"), F.col(label).cast("int").alias("label")).dropDuplicates(["labelled"])
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(known, F.col("doc_id") == F.col("labelled"))
-    rows = rows.filter(F.regexp_count("text", F.lit(r"\S+")) <= most_words)
+    known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    fits = docs.filter(F.length(F.col(text)) <= most_chars).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = stored(fits.select("doc_id").distinct().join(known, "doc_id"), "toxic-labels")
     shares = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id"))
-    sample = rows.withColumn("rank", rank).filter(F.col("rank") <= per_label).select("text", "label").collect()
+    drawn = rows.withColumn("rank", rank).filter(F.col("rank") <= per_label).select("doc_id", "label")
+    # the drawn ids are at most two times per_label
+    sample = fits.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("doc_id").collect()
     weight = [shares.get(k, 0) / max(1, min(shares.get(k, 0), per_label)) for k in (0, 1)]
     return train([sentence_words(r["text"]) for r in sample], [r["label"] for r in sample], importance=(max(1.0, weight[0]), max(1.0, weight[1])), **settings)
 
