@@ -160,7 +160,7 @@ def argument_signature(stages: DataFrame, items: DataFrame) -> DataFrame:
     both = given.join(taken, [*PAGE, "item"], "full_outer")
     way = F.when(F.col("in_param").isNull(), "out").when(F.col("out_param").isNull(), "in").otherwise("inout")
     prefix = F.when(F.col("way") == "inout", "io_").otherwise(F.concat("way", F.lit("_")))
-    order = F.when(F.col("in_pos").isNotNull(), F.col("in_pos")).otherwise(F.col("out_pos") + 1_000_000)
+    order = F.when(F.col("in_pos").isNotNull(), F.col("in_pos")).otherwise(F.col("out_pos") + F.lit(1 << 32))
     arguments = both.withColumn("way", way).select(
         *PAGE, "item", "way", F.coalesce("in_param", "out_param").alias("param_name"), "in_param", "out_param",
         F.concat(prefix, t.sanitize_identifier(F.coalesce("in_param", "out_param"))).alias("base"), order.cast("long").alias("rank"),
@@ -169,7 +169,7 @@ def argument_signature(stages: DataFrame, items: DataFrame) -> DataFrame:
     types = local.groupBy(*PAGE, "item").agg(F.min_by("data_type", "pos").alias("data_type"), F.min("pos").alias("pos"))
     variables = types.join(arguments, [*PAGE, "item"], "left_anti").select(
         *PAGE, "item", F.lit("variable").alias("way"), F.lit(None).cast("string").alias("param_name"), t.sanitize_identifier("item").alias("base"),
-        (F.col("pos") + 2_000_000).cast("long").alias("rank"),
+        (F.col("pos") + F.lit(1 << 33)).cast("long").alias("rank"),
     )
     named = naming.unique_names(
         arguments.unionByName(variables, allowMissingColumns=True), list(PAGE), "base", "rank", [F.floor(F.col("rank") / 1000)]
@@ -306,34 +306,47 @@ def unmatched_arguments(estate: Estate, stages: DataFrame) -> DataFrame:
 # --- labels and effort -------------------------------------------------------
 
 
-def target_label() -> Column:
-    """What a stage becomes on the target side."""
-    kind, steps = F.col("kind"), F.coalesce(F.size("steps"), F.lit(0)).cast("string")
-    role = t.queue_action_class("action_name")
-    queue = (
-        F.when(role == "get_next", "ui:GetQueueItem → TransactionItem").when(role == "add", "ui:AddQueueItem (per-field ItemInformation)")
-        .when(role == "complete", "ui:SetTransactionStatus (Successful)").when(role == "exception", "ui:SetTransactionStatus (Failed)")
-        .otherwise(F.format_string('queue action "%s"', "action_name"))
+# What each kind of stage turns into; kinds that need a closer look are told apart in target_code.
+TARGET_OF_KIND = {
+    "anchor": "nothing", "loopEnd": "nothing", "resume": "nothing", "recover": "catch block", "alert": "log line", "note": "annotation",
+    "start": "inputs", "end": "outputs", "data": "variable", "collection": "variable", "calculation": "assignment", "multiCalc": "assignments",
+    "decision": "two-way branch", "choice": "branch chain", "loopStart": "row loop", "wait": "element check", "write": "typing", "read": "reading",
+    "navigate": "clicking", "subsheetRef": "page call", "action": "object call", "exception": "throw", "code": "code block", "generic": "by hand",
+}
+TARGET_OF_QUEUE_ROLE = {"get_next": "queue take", "add": "queue put", "complete": "queue success", "exception": "queue failure"}
+
+
+def target_code() -> Column:
+    """What a stage becomes on the target side, as a short code; null for an unknown kind."""
+    kind = F.col("kind")
+    lookup = lambda table, key, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), other)
+    code = lookup(TARGET_OF_KIND, kind, F.lit(None).cast("string"))
+    queue = (kind == "action") & uses_queues()
+    business = F.contains(F.lower(F.coalesce("exception_type", F.lit(""))), F.lit("business"))
+    return (
+        F.when(queue, lookup(TARGET_OF_QUEUE_ROLE, F.coalesce(t.queue_action_class("action_name"), F.lit("")), F.lit("queue step")))
+        .when((kind == "exception") & F.coalesce("preserve", F.lit(False)), "throw again").when((kind == "exception") & business, "throw for business")
+        .when((kind == "code") & F.coalesce(F.col("language") == "jscript", F.lit(False)), "by hand").otherwise(code)
     )
-    page = F.when(F.coalesce("target_page_name", F.lit("")) == "", F.col("name")).otherwise(F.col("target_page_name"))
-    says = {
-        "start": F.lit("Workflow arguments (in_/io_)"), "end": F.lit("Workflow arguments (out_/io_)"),
-        "data": F.lit("Typed variable / argument"), "collection": F.lit("Typed variable / argument"),
-        "calculation": F.concat(F.lit("Assign "), F.col("store_in")), "multiCalc": F.concat(steps, F.lit("× Assign")), "decision": F.lit("If"),
-        "choice": F.format_string("Nested If (%d choices + otherwise)", F.size("exprs")), "loopStart": F.concat(F.lit("ForEachRow over "), F.col("collection_name")),
-        "loopEnd": F.lit("(loop boundary)"), "subsheetRef": F.concat(F.lit("InvokeWorkflowFile Pages\\"), t.sanitize_identifier(page), F.lit(".xaml")),
-        "action": F.when(uses_queues(), queue).otherwise(F.concat(F.lit("InvokeWorkflowFile Objects\\"), t.sanitize_identifier("object_name"), F.lit("\\"), t.sanitize_identifier("action_name"), F.lit(".xaml"))),
-        "exception": F.when(F.coalesce("preserve", F.lit(False)), "Rethrow").when(F.lower(F.coalesce("exception_type", F.lit(""))).contains("business"), "Throw BusinessRuleException").otherwise("Throw System.Exception"),
-        "recover": F.lit("TryCatch (catch entry)"), "resume": F.lit("(recovery continues)"), "anchor": F.lit("(flow pass-through)"),
-        "note": F.lit("ui:Comment"), "alert": F.lit("ui:LogMessage (Info)"), "write": F.concat(F.lit("ui:TypeInto ×"), steps),
-        "read": F.concat(F.lit("ui:GetText ×"), steps), "navigate": F.concat(F.lit("ui:Click ×"), steps),
-        "wait": F.lit("ui:UiElementExists + If (found / timed out)"), "code": F.when(F.col("language") == "jscript", "— (JScript unsupported)").otherwise("ui:InvokeCode"),
-        "generic": F.format_string('— (unknown BP stage type "%s")', "raw_type"),
-    }
-    out = None
-    for name, text in says.items():
-        out = F.when(kind == name, text) if out is None else out.when(kind == name, text)
-    return out
+
+
+def target_detail() -> Column:
+    """What the target code is about: a variable, a count, a file or a name; null where the code says all."""
+    kind, file = F.col("kind"), lambda *parts: F.concat(F.concat_ws("\\", *parts), F.lit(".xaml"))
+    page = F.coalesce(F.nullif(F.col("target_page_name"), F.lit("")), F.col("name"))
+    return (
+        F.when(kind == "calculation", F.col("store_in")).when(kind == "loopStart", F.col("collection_name"))
+        .when(kind.isin("multiCalc", "write", "read", "navigate"), F.coalesce(F.size("steps"), F.lit(0)).cast("string"))
+        .when(kind == "choice", F.size("exprs").cast("string")).when(kind == "generic", F.col("raw_type"))
+        .when(kind == "subsheetRef", file(F.lit("Pages"), t.sanitize_identifier(page)))
+        .when((kind == "action") & ~uses_queues(), file(F.lit("Objects"), t.sanitize_identifier("object_name"), t.sanitize_identifier("action_name")))
+        .when((kind == "action") & (t.queue_action_class("action_name") == "other"), F.col("action_name"))
+    )
+
+
+def target_label() -> Column:
+    """Code and detail in one text."""
+    return F.when(target_code().isNotNull(), F.concat_ws(": ", target_code(), target_detail()))
 
 
 def stage_mapping(estate: Estate, punch: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 Page graphs are many and small, so a page is solved inside one task with array
 operations after one shuffle by page.  A page over ``PAGE_CAP`` rows never goes
 to one task: it is solved with joins, one round per step, keyed by page and
-stage so that its rows stay spread over the cluster.
+stage so that its rows stay spread over the cluster.  Both ways give the same
+answer: stages of a page that share an id are one vertex, a seed if one of them
+is, whose place is the first of theirs; of one position the first by id is first.
 """
 
 from __future__ import annotations
@@ -22,21 +24,28 @@ from procatlas.session import cut, written
 PAGE_CAP = 50_000
 ROUNDS_KEPT = 16
 SEP = "\u0001"
+NULL = "\u0002"
+LAST = 2**31 - 1  # the place of a node without one
 PACKED = "g string, a string, b string, pos int, seed boolean"
 
 
 # --- whole pages in a task ---------------------------------------------------
 
 
+def _named(column: str) -> Column:
+    """The value as text, where null is a value of its own."""
+    return F.coalesce(F.col(column).cast("string"), F.lit(NULL))
+
+
 def _pack(nodes: DataFrame, edges: DataFrame, group: Sequence[str], node: str, pos: str) -> DataFrame:
     """Nodes (b null) and edges (b set) in one frame, so that one shuffle brings both together."""
-    g = F.concat_ws(SEP, *group).alias("g")
+    g = F.concat_ws(SEP, *[_named(c) for c in group]).alias("g")
     seed = F.col("seed") if "seed" in nodes.columns else F.lit(False)
     n = nodes.select(
-        g, F.col(node).alias("a"), F.lit(None).cast("string").alias("b"),
-        F.col(pos).cast("int").alias("pos"), F.coalesce(seed, F.lit(False)).alias("seed"),
+        g, _named(node).alias("a"), F.lit(None).cast("string").alias("b"),
+        F.coalesce(F.col(pos).cast("int"), F.lit(LAST)).alias("pos"), F.coalesce(seed, F.lit(False)).alias("seed"),
     )
-    e = edges.select(
+    e = edges.where("src is not null and dst is not null").select(
         g, F.col("src").alias("a"), F.col("dst").alias("b"),
         F.lit(None).cast("int").alias("pos"), F.lit(False).alias("seed"),
     )
@@ -58,31 +67,39 @@ def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _arrays(part: pd.DataFrame):
-    """Nodes in document order, and the edges between them as index pairs."""
+    """Node rows in document order with their vertex, each vertex's first row, and the edges between vertices."""
     is_node = part["b"].isna()
-    nodes = part[is_node].sort_values(["g", "pos"], kind="stable").reset_index(drop=True)
+    nodes = part[is_node].sort_values(["g", "pos", "a"], kind="stable").reset_index(drop=True)
     edges = part[~is_node]
-    index = pd.Series(np.arange(len(nodes)), index=nodes["g"].str.cat(nodes["a"], sep=SEP))
-    index = index[~index.index.duplicated()]
-    src = index.reindex(edges["g"].str.cat(edges["a"], sep=SEP)).to_numpy()
-    dst = index.reindex(edges["g"].str.cat(edges["b"], sep=SEP)).to_numpy()
-    on_page = ~(np.isnan(src) | np.isnan(dst))
-    return nodes, src[on_page].astype(np.int64), dst[on_page].astype(np.int64)
+    vertex, names = pd.factorize(nodes["g"].str.cat(nodes["a"], sep=SEP))
+    first = np.unique(vertex, return_index=True)[1]
+    names = pd.Index(names)
+    src = names.get_indexer(edges["g"].str.cat(edges["a"], sep=SEP))
+    dst = names.get_indexer(edges["g"].str.cat(edges["b"], sep=SEP))
+    on_page = (src >= 0) & (dst >= 0)
+    return nodes, vertex, first, src[on_page].astype(np.int64), dst[on_page].astype(np.int64)
 
 
 def _spread(mark: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    while True:
-        new = mark[src] & ~mark[dst]
-        if not new.any():
-            return mark
-        mark[dst[new]] = True
+    """Mark what the marked vertices lead to; each edge is looked at once."""
+    order = np.argsort(src, kind="stable")
+    ahead, starts = dst[order], np.searchsorted(src[order], np.arange(len(mark) + 1))
+    frontier = np.flatnonzero(mark)
+    while len(frontier):
+        counts = starts[frontier + 1] - starts[frontier]
+        skip = np.repeat(starts[frontier] - np.cumsum(counts) + counts, counts)
+        found = np.unique(ahead[skip + np.arange(counts.sum())])
+        frontier = found[~mark[found]]
+        mark[frontier] = True
+    return mark
 
 
 def _reach_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in _whole_groups(batches):
-        nodes, src, dst = _arrays(part)
-        mark = _spread(nodes["seed"].to_numpy(dtype=bool).copy(), src, dst)
-        yield pd.DataFrame({"g": nodes["g"], "node": nodes["a"], "reached": mark})
+        nodes, vertex, first, src, dst = _arrays(part)
+        mark = np.zeros(len(first), dtype=bool)
+        mark[vertex[nodes["seed"].to_numpy(dtype=bool)]] = True
+        yield pd.DataFrame({"g": nodes["g"], "node": nodes["a"], "reached": _spread(mark, src, dst)[vertex]})
 
 
 def _component_heads(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
@@ -129,11 +146,11 @@ def _component_heads(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 
 def _cycles_in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in _whole_groups(batches):
-        nodes, src, dst = _arrays(part)
-        head = _component_heads(len(nodes), src, dst)
+        nodes, _, first, src, dst = _arrays(part)
+        head = _component_heads(len(first), src, dst)
         on = head >= 0
-        names = nodes["a"].to_numpy()
-        yield pd.DataFrame({"g": nodes["g"][on], "node": names[on], "head": names[head[on]]})
+        names, groups = nodes["a"].to_numpy()[first], nodes["g"].to_numpy()[first]
+        yield pd.DataFrame({"g": groups[on], "node": names[on], "head": names[head[on]]})
 
 
 def _in_tasks(packed: DataFrame, kernel, schema: str) -> DataFrame:
@@ -196,9 +213,9 @@ def _reach_large(rows: DataFrame) -> DataFrame:
 
 
 def _cycles_large(rows: DataFrame) -> DataFrame:
-    """The same colouring as in a task, with joins; positions serve as colours."""
+    """The same colouring as in a task, with joins; a vertex's first place and its id serve as its colour."""
     nodes, edges = _large_graph(rows)
-    nodes = nodes.groupBy("g", "node").agg(F.min("pos").alias("pos"))
+    nodes = nodes.groupBy("g", "node").agg(F.struct(F.min("pos"), F.col("node")).alias("pos"))
     loops = edges.where("src = dst").select("g", F.col("src").alias("node"))
     edges = cut(edges.where("src <> dst"))
     found = None
@@ -263,7 +280,9 @@ def _cycles_large(rows: DataFrame) -> DataFrame:
 def _unpack(solved: DataFrame, group: Sequence[str], node: str, *rest: str) -> DataFrame:
     parts = F.split("g", SEP, -1)
     return solved.select(
-        *[parts[i].alias(c) for i, c in enumerate(group)], F.col("node").alias(node), *rest
+        *[F.nullif(parts[i], F.lit(NULL)).alias(c) for i, c in enumerate(group)],
+        *[F.nullif(F.col(c), F.lit(NULL)).alias(n) for c, n in (("node", node), *((r, r) for r in rest if r == "head"))],
+        *[r for r in rest if r != "head"],
     )
 
 

@@ -8,17 +8,25 @@ inside a bucket, and only one small row per bucket is carried across.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name, where null equals null; the columns appear once."""
+    marked = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [left[c].eqNullSafe(marked[f"__r_{c}"]) for c in on])
+    return left.join(marked, same, how).drop(*[f"__r_{c}" for c in on])
+
+
 def numbered(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Sequence[Column], out: str
 ) -> DataFrame:
     """1-based position of each row within its key.
 
-    ``bucket`` must never decrease along ``order``.
+    ``bucket`` must never decrease along ``order``. Null keys and buckets count as values; null buckets come first.
     """
     names = [f"__b{i}" for i in range(len(bucket))]
     cut = df.withColumns(dict(zip(names, bucket)))
@@ -27,8 +35,7 @@ def numbered(
     offsets = counts.select(*keys, *names, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     inside = Window.partitionBy(*keys, *names).orderBy(*order)
     return (
-        cut.withColumn("__rn", F.row_number().over(inside))
-        .join(offsets, [*keys, *names])
+        join_null_safe(cut.withColumn("__rn", F.row_number().over(inside)), offsets, [*keys, *names])
         .withColumn(out, (F.col("__off") + F.col("__rn")).cast("int"))
         .drop("__rn", "__off", *names)
     )
@@ -44,10 +51,9 @@ def with_previous(
         *keys, "__b", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__b"))[value].alias("__carry")
     )
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
+    placed = cut.withColumn("__rn", F.row_number().over(inside)).withColumn("__lag", F.lag(value).over(inside))
     return (
-        cut.withColumn("__rn", F.row_number().over(inside))
-        .withColumn("__lag", F.lag(value).over(inside))
-        .join(carried, [*keys, "__b"])
+        join_null_safe(placed, carried, [*keys, "__b"])
         .withColumn(out, F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col("__lag")))
         .drop("__b", "__rn", "__lag", "__carry")
     )

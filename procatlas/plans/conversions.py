@@ -89,12 +89,12 @@ def stage_mapping(spark, sf):
 
 
 @query("target_labels", with_cte("""
-SELECT kind, CASE kind WHEN 'start' THEN 'Workflow arguments (in_/io_)' WHEN 'data' THEN 'Typed variable / argument' WHEN 'calculation' THEN concat('Assign ', store_in) WHEN 'decision' THEN 'If'
-  WHEN 'subsheetRef' THEN concat('InvokeWorkflowFile Pages\\', CASE WHEN target_page_id IS NULL THEN replace(name, ' ', '_') ELSE replace(page_name, ' ', '_') END, '.xaml')
-  WHEN 'action' THEN CASE WHEN queue_name IS NULL THEN concat('InvokeWorkflowFile Objects\\', replace(object_name, '#', '_'), '\\', action_name, '.xaml')
-    WHEN action_name = 'Get Next Item' THEN 'ui:GetQueueItem → TransactionItem' WHEN action_name = 'Add To Queue' THEN 'ui:AddQueueItem (per-field ItemInformation)'
-    WHEN action_name = 'Mark Completed' THEN 'ui:SetTransactionStatus (Successful)' ELSE 'ui:SetTransactionStatus (Failed)' END
-  WHEN 'recover' THEN 'TryCatch (catch entry)' WHEN 'write' THEN 'ui:TypeInto ×1' WHEN 'wait' THEN 'ui:UiElementExists + If (found / timed out)' END AS target, CAST(count(*) AS BIGINT) AS n FROM st GROUP BY 1, 2"""))
+SELECT kind, CASE kind WHEN 'start' THEN 'inputs' WHEN 'data' THEN 'variable' WHEN 'calculation' THEN concat('assignment: ', store_in) WHEN 'decision' THEN 'two-way branch'
+  WHEN 'subsheetRef' THEN concat('page call: Pages\\', CASE WHEN target_page_id IS NULL THEN replace(name, ' ', '_') ELSE replace(page_name, ' ', '_') END, '.xaml')
+  WHEN 'action' THEN CASE WHEN queue_name IS NULL THEN concat('object call: Objects\\', replace(object_name, '#', '_'), '\\', action_name, '.xaml')
+    WHEN action_name = 'Get Next Item' THEN 'queue take' WHEN action_name = 'Add To Queue' THEN 'queue put'
+    WHEN action_name = 'Mark Completed' THEN 'queue success' ELSE 'queue failure' END
+  WHEN 'recover' THEN 'catch block' WHEN 'write' THEN 'typing: 1' WHEN 'wait' THEN 'element check' END AS target, CAST(count(*) AS BIGINT) AS n FROM st GROUP BY 1, 2"""))
 def target_labels(spark, sf):
     stages = estate(spark, sf).stages.where("owner_type = 'process'")
     return stages.select("kind", conversion.target_label().alias("target")).groupBy("kind", "target").agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from procatlas.functions.text import source_hash
 from procatlas.model import Estate
 from procatlas.session import written
+from procatlas.sources.files import root_element
 
 # Element and attribute names of the export format.
 _INPUT = "struct<_name:string,_type:string,_expr:string,_stage:string>"
@@ -94,7 +95,7 @@ def parse(files: DataFrame) -> DataFrame:
     Broken XML never fails the job: the row keeps its root and both documents are null.
     A given ``release_id`` column is kept, else file and content make one.
     """
-    root = F.regexp_extract("content", r"^\s*(?:<\?[^>]*\?>|<!--(?s:.*?)-->|<!DOCTYPE[^>]*>|\s)*<([\w:.-]+)", 1)
+    root = root_element(F.col("content"))
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     if "release_id" not in files.columns:
         files = files.withColumn("release_id", F.sha2(F.concat_ws("\n", "file", "content"), 256))
@@ -273,7 +274,7 @@ def edges_of(located: DataFrame) -> DataFrame:
         F.posexplode(F.filter(F.concat(own, branches), lambda e: e["dst"] != "")).alias("i", "e"),
     )
     return rows.select(
-        "release_id", "owner_id", "page_id", "src", "e.*", (F.col("stage_pos").cast("long") * 1_000_000 + F.col("i")).alias("edge_pos")
+        "release_id", "owner_id", "page_id", "src", "e.*", (F.shiftleft(F.col("stage_pos").cast("long"), 31) + F.col("i")).alias("edge_pos")
     )
 
 

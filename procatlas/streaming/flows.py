@@ -97,20 +97,21 @@ def stream_retained(events: DataFrame, retention: str, window: str = "1 day") ->
     return counted.select(F.col("w.start").alias("day"), "n")
 
 
-def stream_intake(spark: SparkSession, folder: str, sink: Callable[[Estate, DataFrame], None], checkpoint: str, glob: str | None = None):
+def stream_intake(spark: SparkSession, folder: str, sink: Callable[[Estate, DataFrame], None], checkpoint: str, glob: str | None = None, max_bytes: int | None = None):
     """New export files as they land: gate, normalise, hand the tables and the rejects to ``sink``.
 
-    Runs over what is there and stops; the same checkpoint continues later.
+    Runs over what is there and stops; the same checkpoint continues later. The content of a file over ``max_bytes``
+    goes no further than the scan.
     """
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    landed = reader.load(folder).select(
-        F.col("path").alias("file"), F.col("length").alias("size_bytes"), F.col("content").cast("string").alias("content")
-    )
+    content = F.col("content").cast("string")
+    kept = content if max_bytes is None else F.when(F.col("length") <= max_bytes, content)
+    landed = reader.load(folder).select(F.col("path").alias("file"), F.col("length").alias("size_bytes"), kept.alias("content"))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        gated = files.intake_gate(df)
+        gated = files.intake_gate(df, max_bytes)
         accepted, rejected = files.split_accepted(gated)
         sink(releases.normalize(accepted), rejected)
 

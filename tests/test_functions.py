@@ -133,3 +133,29 @@ def test_date_add(spark, interval, want):
 ])
 def test_expression_functions(spark, name, args, want):
     assert one(spark, expressions.FUNCTIONS[name](*[F.lit(a) if not (name in ("mid", "left", "right") and isinstance(a, int)) else F.lit(a) for a in args])) == want
+
+
+def test_positions_keep_rows_with_null_keys_and_buckets(spark):
+    rows = [(1, None, 5, "a"), (2, None, None, "b"), (3, "k", None, "c"), (4, "k", 9, "d"), (5, None, 7, "e")]
+    df = spark.createDataFrame(rows, "i int, k string, at int, v string")
+    placed = windows.numbered(df, ["k"], ["at", "i"], [F.col("at")], "pos").collect()
+    assert {r.i: r.pos for r in placed} == {1: 2, 2: 1, 3: 1, 4: 2, 5: 3}
+    previous = windows.with_previous(df, ["k"], ["at", "i"], F.col("at"), "v", "before").collect()
+    assert {r.i: r.before for r in previous} == {1: "b", 2: None, 3: None, 4: "c", 5: "a"}
+
+
+def test_unique_names_end_on_equal_positions_and_null_scopes(spark):
+    rows = [(None, "A", 1), (None, "A", 1), (None, "A", 1), (None, "A_2", 1), ("s", "A", 0), ("s", "A_2", 0), ("s", "A", 0)]
+    df = spark.createDataFrame(rows, "scope string, base string, pos int")
+    got = naming.unique_names(df, ["scope"], "base", "pos", [F.lit(0)]).collect()
+    assert sorted((r.scope or "", r.identifier) for r in got) == sorted([*(("", n) for n in ("A", "A_2", "A_3", "A_2_2")), ("s", "A"), ("s", "A_2"), ("s", "A_2_2")])
+
+
+def test_an_export_may_begin_with_long_comments_and_be_of_any_size(spark):
+    from procatlas.sources import files
+
+    lead = "<?xml version='1.0'?><!-- " + "x <process> " * 2000 + "-->"
+    rows = [("a.xml", lead + "<bpr:release/>"), ("b.xml", lead + "<other><process/></other>"), ("c.xml", "<process>" + "y" * 3_000_000 + "</process>")]
+    uploads = spark.createDataFrame([(f, len(c), c) for f, c in rows], "file string, size_bytes long, content string")
+    assert {r.file: r.reason is None for r in files.intake_gate(uploads).collect()} == {"a.xml": True, "b.xml": False, "c.xml": True}
+    assert files.intake_gate(uploads, 100).where("reason is null").count() == 0
