@@ -17,7 +17,7 @@ from procatlas.model import OWNER, PAGE, Estate
 CONTENT_MARKERS = ("<?xml", "<process", "<stage", "<object", "xmlns", "<activity", "</")
 MIN_DATA_VALUE, MIN_ATTRIBUTE_VALUE = 4, 8
 MAX_PAYLOAD_BYTES = 100_000
-SALTS = 8
+SALT_ROWS = 50_000  # texts of one piece that one task should meet
 
 
 def digest_stages(stages: DataFrame) -> DataFrame:
@@ -106,8 +106,8 @@ def leaked_values(texts: DataFrame, values: DataFrame, keys: Sequence[str] = ("r
 def _verified(h: DataFrame, v: DataFrame, text_pieces: Column, keys: list[str]) -> DataFrame:
     """Look-up by the rarest piece, then full comparison.
 
-    Pieces travel without their text and only if some value has them; a frequent
-    piece is spread over salts.
+    Pieces travel without their text and only if some value has them; a piece is
+    spread over as many salts as the number of its texts asks for.
     """
     wanted = v.select(*keys, "value", "needle", F.explode("pieces").alias("piece"))
     held = h.select(*keys, "text_id", F.explode(text_pieces).alias("piece")).join(
@@ -117,9 +117,10 @@ def _verified(h: DataFrame, v: DataFrame, text_pieces: Column, keys: list[str])
     # a value one of whose pieces no text holds cannot occur at all
     rarest = wanted.join(freq, [*keys, "piece"], "left").groupBy(*keys, "value", "needle").agg(
         F.min_by(F.struct("piece", "freq"), F.struct(F.coalesce("freq", F.lit(0)), "piece")).alias("p")
-    ).where("p.freq is not null").select(*keys, "value", "needle", F.col("p.piece").alias("piece"))
-    spread = held.withColumn("salt", F.abs(F.hash("text_id") % SALTS))
-    lookups = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ).where("p.freq is not null").select(*keys, "value", "needle", F.col("p.piece").alias("piece"), F.ceil(F.col("p.freq") / SALT_ROWS).alias("salts"))
+    chosen = rarest.select(*keys, "piece", "salts").distinct()
+    spread = held.join(chosen, [*keys, "piece"]).withColumn("salt", F.pmod(F.xxhash64("text_id"), "salts")).drop("salts")
+    lookups = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
     candidates = spread.join(lookups, [*keys, "piece", "salt"]).select(*keys, "text_id", "value", "needle")
     return candidates.join(h, [*keys, "text_id"]).where(F.contains("hay", F.col("needle"))).select(*keys, "text_id", "value")
 

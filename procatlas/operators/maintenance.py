@@ -87,7 +87,7 @@ def mnt_003(estate: Estate, meta) -> DataFrame:
 
 
 def oversize(stages: DataFrame, process_limit: int = PROCESS_STAGE_LIMIT, page_limit: int = PAGE_STAGE_LIMIT) -> DataFrame:
-    """Processes with too many stages, or with a page of too many; counted per page first."""
+    """Processes with too many stages, or with a page of too many; counted per page first. ``reasons`` names each such page."""
     per_page = (
         stages.where(F.col("owner_type") == "process")
         .groupBy("release_id", "owner_id", "owner_type", "page_id")
@@ -97,6 +97,7 @@ def oversize(stages: DataFrame, process_limit: int = PROCESS_STAGE_LIMIT, page_l
         F.sum("n").alias("stage_count"),
         F.count_if(F.col("n") > page_limit).alias("large_pages"),
         F.max("n").alias("largest_page"),
+        F.array_sort(F.collect_list(F.when(F.col("n") > page_limit, F.format_string('page "%s" has %d', "page_id", "n")))).alias("reasons"),
     )
     return per_owner.where((F.col("stage_count") > process_limit) | (F.col("large_pages") > 0))
 
@@ -108,7 +109,7 @@ def mnt_004(estate: Estate, meta) -> DataFrame:
 
 
 def oversize_findings(estate: Estate, meta, process_limit=PROCESS_STAGE_LIMIT, page_limit=PAGE_STAGE_LIMIT) -> DataFrame:
-    message = F.format_string("%d stages; %d page(s) over the limit, the largest has %d.",
-                              "stage_count", "large_pages", "largest_page")
+    message = F.format_string("%d stages in all; %s.", F.col("stage_count"),
+                              F.when(F.size("reasons") == 0, "no page is over the limit").otherwise(F.array_join("reasons", ", ")))
     return make_finding(meta, oversize(estate.stages, process_limit, page_limit), message,
                         "Split it into a part that loads work and a part that does it.", 0.95)

@@ -54,11 +54,11 @@ def sec_002(estate: Estate, meta) -> DataFrame:
     plain = estate.params.where(
         (F.col("direction") == "in") & t.is_credential_name("name") & (F.col("data_type") != "password")
     )
-    per_owner = plain.groupBy("release_id", "owner_id").agg(
-        F.count("*").alias("n"), F.min_by("name", "param_pos").alias("first_name")
-    )
+    # an owner's parameters come from one component, which is one row of the input
+    in_order = F.array_sort(F.collect_list(F.struct("param_pos", "name")))
+    per_owner = plain.groupBy("release_id", "owner_id").agg(F.array_join(F.transform(in_order, lambda p: p["name"]), '", "').alias("names"))
     processes = estate.owners.where(F.col("owner_type") == "process").select("release_id", "owner_id", "owner_type")
-    message = F.format_string('%d startup parameter(s) carry secrets as plain text, the first is "%s".', "n", "first_name")
+    message = F.format_string('Startup parameters carry secrets as plain text: "%s".', "names")
     return make_finding(meta, processes.join(per_owner, ["release_id", "owner_id"]), message, USE_VAULT, 0.9)
 
 

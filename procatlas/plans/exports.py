@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from procatlas.functions.text import source_hash
@@ -73,12 +75,11 @@ def scan_bots(spark, sf):
 @query("scan_answer_keys", "SELECT concat('k', CAST(doc_id AS string)) AS key_id, 'SEC-001' AS rule_id, concat('Doc ', CAST(doc_id AS string)) AS process_name FROM labels WHERE quality = 1")
 def scan_answer_keys(spark, sf):
     """Labels written as answer keys and read back with the fixed schema."""
-    path = f"{shared_dir(spark).rstrip('/')}/keys-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    path = f"{shared_dir(spark).rstrip('/')}/keys-{uuid.uuid4().hex}"
     labels = table(spark, sf, "labels")
     findings = F.when(F.col("quality") == 1, F.array(F.struct(F.lit("SEC-001").alias("ruleId"), F.concat(F.lit("Doc "), "doc_id").alias("processName"))))
     labels.select(F.concat(F.lit("k"), "doc_id").alias("id"), findings.alias("expectedFindings")).write.mode("overwrite").json(path)
-    # many keys per file here, so one JSON document per line
-    keys = spark.read.schema(reports.ANSWER_KEY).json(path)
+    keys = reports.scan_answer_keys(spark, path, one_per_line=True)
     return reports.expected_findings(keys).select("key_id", "rule_id", "process_name")
 
 
@@ -292,7 +293,7 @@ SELECT concat('{{"record":"component","name":"Order ', {K}, '","role":"process",
 UNION ALL SELECT concat('{{"record":"component","name":"Order Object ', {K}, '","role":"object","score":100,"grade":"A","stage_count":7,"purpose":"Drives the order screen"}}') FROM orders""")
 def write_report_json(spark, sf):
     """The report is written and read back; the component lines are compared."""
-    path = f"{shared_dir(spark).rstrip('/')}/report-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
+    path = f"{shared_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
     e, findings, scored = _report(spark, sf)
     reports.write_report_json(e, findings, scored, path)
     return spark.read.text(path).withColumnRenamed("value", "line").where(F.contains("line", F.lit('"record":"component"')))

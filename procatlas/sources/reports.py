@@ -32,9 +32,9 @@ ANSWER_KEY = (
 )
 
 
-def scan_answer_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Expected results, one file per row."""
-    return spark.read.schema(ANSWER_KEY).json(path, multiLine=True)
+def scan_answer_keys(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Expected results, one file per row, or one line per row where files hold many keys."""
+    return spark.read.schema(ANSWER_KEY).json(path, multiLine=not one_per_line)
 
 
 def expected_findings(keys: DataFrame) -> DataFrame:
@@ -144,6 +144,6 @@ def migration_report(estate: Estate, coverage: DataFrame, punch: DataFrame, effo
 
 
 def write_migration_report(lines: DataFrame, path: str) -> None:
-    """One folder per process, its lines in order."""
+    """One folder per process of each release, its lines in order."""
     order = ["release_id", "owner_id", "section", "place"]
-    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("owner_id", "line").write.mode("overwrite").partitionBy("owner_id").text(path)
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("release_id", "owner_id", "line").write.mode("overwrite").partitionBy("release_id", "owner_id").text(path)

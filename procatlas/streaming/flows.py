@@ -110,6 +110,12 @@ def stream_intake(spark: SparkSession, folder: str, sink: Callable[[Estate, Data
     kept = content if max_bytes is None else F.when(F.col("length") <= max_bytes, content)
     landed = reader.load(folder).select(F.col("path").alias("file"), F.col("length").alias("size_bytes"), kept.alias("content"))
 
+    return run_intake(landed, sink, checkpoint, max_bytes)
+
+
+def run_intake(landed: DataFrame, sink: Callable[[Estate, DataFrame], None], checkpoint: str, max_bytes: int | None = None):
+    """Gate and normalise a stream of ``file, size_bytes, content`` rows, batch by batch."""
+
     def batch(df: DataFrame, epoch: int) -> None:
         gated = files.intake_gate(df, max_bytes)
         accepted, rejected = files.split_accepted(gated)
