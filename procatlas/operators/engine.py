@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procatlas.functions.ranks import SEVERITIES, severity_rank
 from procatlas.functions.text import clamp01
 from procatlas.model import FINDING_SCHEMA, Estate, conform, location, location_key
+from procatlas.session import cut, written
 
 RULE_ID = re.compile(r"[A-Z]{3}-\d{3}")
 
@@ -85,12 +86,14 @@ def make_finding(
 
 
 def run_rules(
-    estate: Estate, rules: Iterable[Rule], config: RuleConfig = RuleConfig()
+    estate: Estate, rules: Iterable[Rule], config: RuleConfig = RuleConfig(), isolated: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Findings of all enabled rules, and one row per rule that could not be planned.
+    """Findings of all enabled rules, and one row per rule that failed.
 
     An override replaces a rule's severity before its plan is built, so it costs
     no join.  A rule that raises while its plan is built does not stop the rest.
+    ``isolated`` writes each rule's findings on its own, so that neither does a
+    rule that fails while it runs; without it the rules stay one plan.
     """
     spark = estate.owners.sparkSession
     empty = spark.createDataFrame([], FINDING_SCHEMA)
@@ -102,7 +105,8 @@ def run_rules(
         try:
             if wanted not in SEVERITIES:
                 raise ValueError(f"unknown severity {wanted!r}")
-            plans.append(conform(rule.check(estate, replace(rule.meta, severity=wanted)), empty))
+            found = conform(rule.check(estate, replace(rule.meta, severity=wanted)), empty)
+            plans.append(written(found, "findings") if isolated else found)
         except Exception as problem:  # noqa: BLE001 - the point is to report any failure
             errors.append((rule.meta.id, f"{type(problem).__name__}: {problem}"))
     findings = reduce(DataFrame.unionByName, plans)
@@ -114,6 +118,15 @@ def order_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank("severity"), "rule_id", location_key(), "message")
 
 
+def place_findings(findings: DataFrame) -> DataFrame:
+    """Findings with their 1-based ``place`` in that order, from sorted partitions and the partitions' sizes."""
+    rows = cut(order_findings(findings).withColumn("__id", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__id", 33))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(starts, "__part").withColumn("place", place).drop("__id", "__part", "__before")
+
+
 def rule_counts(findings: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     """Findings per rule; rules without any stay in with 0."""
     spark = findings.sparkSession

@@ -260,10 +260,19 @@ def run_rules_query(spark, sf):
     return findings.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query("rule_errors", "SELECT 'ZZZ-999' AS rule_id, CAST(1 AS BIGINT) AS n, (SELECT CAST(count(*) AS BIGINT) FROM orders) >= 0 AS ran")
+@define_rule("ZZZ-998", "Late failure", "low", "reliability", "Fails while it runs, on the first owner.")
+def late_rule(e, meta):
+    return engine.make_finding(meta, e.owners, F.raise_error(F.concat(F.lit("no sense in "), "owner_id")), "None.", 0.5)
+
+
+@query("rule_errors", with_cte(f"""
+SELECT 'ZZZ-998' AS rule_id, CAST(1 AS BIGINT) AS n, false AS ran UNION ALL SELECT 'ZZZ-999', CAST(1 AS BIGINT), false
+UNION ALL SELECT 'REL-001', CAST(count(*) AS BIGINT), true FROM ({REL_001_BODY})"""))
 def rule_errors(spark, sf):
-    _, errors = _run(spark, sf)
-    return errors.groupBy("rule_id").agg(F.count("*").alias("n")).withColumn("ran", F.lit(True))
+    """A rule fails while it is planned and one while it runs; the third is not stopped by them."""
+    findings, errors = run_rules(estate(spark, sf), [broken_rule, late_rule, reliability.rel_001], isolated=True)
+    count = lambda df, ran: df.groupBy("rule_id").agg(F.count("*").alias("n")).withColumn("ran", F.lit(ran))
+    return count(errors, False).unionByName(count(findings, True))
 
 
 @query("rule_counts", with_cte(f"""
@@ -279,15 +288,10 @@ SELECT rule_id, location_key, CAST(row_number() OVER (ORDER BY rank, rule_id, lo
   UNION ALL SELECT 2, 'MNT-004', concat(owner_id, '////') FROM ({OVERSIZE_BODY}) UNION ALL SELECT 2, 'REL-004', concat('/', owner_id, '///', stage_id) FROM pt WHERE strong_match = 'index')"""))
 def order_findings(spark, sf):
     """The place of each finding, numbered from the sorted partitions and their sizes."""
-    from procatlas.functions.ranks import severity_rank
     from procatlas.model import location_key
-    from procatlas.operators.windows import numbered
 
     findings, _ = run_rules(estate(spark, sf), [reliability.rel_001, small_page_limit, reliability.rel_004])
-    keyed = findings.select(severity_rank("severity").alias("rank"), "rule_id", location_key().alias("location_key"), F.lit(0).alias("all"))
-    first = F.substring("location_key", 1, 6)
-    placed = numbered(keyed, ["all"], ["rank", "rule_id", "location_key"], [F.col("rank"), F.col("rule_id"), first], "place")
-    return placed.select("rule_id", "location_key", F.col("place").cast("long").alias("place"))
+    return engine.place_findings(findings).select("rule_id", location_key().alias("location_key"), "place")
 
 
 @query("diff_findings", """
