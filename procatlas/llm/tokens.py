@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 # these two characters are cut that way.
 _SIMPLE = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CHUNK = re.compile(rf"[ \n]*(?:[{_SIMPLE}0-9]+(?=[.,;:!?](?:[ \n]|\Z))|[^ \n]+)|[ \n]+")
+_MARKS = tuple(".,;:!?")
+_WORD_CHARS = re.compile(rf"[{_SIMPLE}0-9]+")
 _ONE_WORD = re.compile(rf" ?[{_SIMPLE}]+")
 _OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 
@@ -31,21 +33,38 @@ def _byte_letters() -> dict[int, int]:
     return {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in visible)}
 
 
-class _Memo(dict):
+class _Chunks(dict):
     """Ids of each chunk seen, as little-endian unsigned 32-bit integers; emptied when ``limit`` is reached."""
 
     def __init__(self, encode, limit: int):
         super().__init__()
         self.encode, self.limit = encode, limit
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
+    def kept(self, chunk: str, ids: bytes) -> bytes:
         if len(chunk) <= 64:
             if len(self) >= self.limit:
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def __missing__(self, chunk: str) -> bytes:
+        return self.kept(chunk, self.encode(chunk))
+
+
+class _Spaced(_Chunks):
+    """Ids of what stands between two blanks, with the blank before it; a word shares its ids with the word and its mark."""
+
+    def __init__(self, chunks: _Chunks, limit: int):
+        super().__init__(None, limit)
+        self.chunks = chunks
+
+    def __missing__(self, piece: str) -> bytes:
+        if "\n" in piece:
+            return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(" " + piece)))
+        if piece[-1:] in _MARKS and _WORD_CHARS.fullmatch(piece, 0, len(piece) - 1):
+            return self.kept(piece, self[piece[:-1]] + self.chunks[piece[-1]])
+        return self.kept(piece, self.chunks.encode(" " + piece))
+
 
 class Encoder:
     """Encodes texts with a vocabulary file of the ``tokenizers`` library, without special tokens.
@@ -61,16 +80,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters, self.words = _byte_letters(), self.tokenizer.model.tokenize
+        self.blank = chr(self.letters[32])
         sample = " Größe"
         self.plain = self.tokenizer.normalizer is None and self._word(sample) == self._whole(sample)
-        self.memo = _Memo(self._chunk, memo)
+        self.chunks = _Chunks(self._chunk, memo // 4)
+        self.spaced = _Spaced(self.chunks, memo)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.words(word.encode().decode("latin-1").translate(self.letters))]
+        letters = word.replace(" ", self.blank) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.words(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -82,7 +104,11 @@ class Encoder:
             return b""
         if _OTHER_SPACE.search(text) or any(token in text for token in self.added):
             return self._whole(text)
-        return b"".join(map(self.memo.__getitem__, _CHUNK.findall(text)))
+        if "  " in text or "\n " in text or text[-1] == " ":  # runs of white space in which a blank is not the first
+            return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
+        first, *rest = text.split(" ")
+        lead = b"".join(map(self.chunks.__getitem__, _CHUNK.findall(first)))
+        return lead + b"".join(map(self.spaced.__getitem__, rest))
 
 
 def encoder(vocabulary: str) -> Encoder:
