@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from procatlas.llm.store import per_process, stored
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -80,25 +81,21 @@ class Model:
         return score, int(score >= 0.5), found
 
 
-def train(bags: list[list[set[str]]], labels: list[int], min_docs: int = 3, max_features: int = 1 << 18, importance: tuple[float, float] = (1.0, 1.0), epochs: int = 40,
+def train(texts: list[str], labels: list[int], min_docs: int = 3, max_features: int = 1 << 18, importance: tuple[float, float] = (1.0, 1.0), epochs: int = 40,
           rate: float = 0.5, l1: float = 3e-5, seed: int = 3) -> Model:
     """Fit by AdaGrad on the negative log likelihood of the document labels; small weights shrink to nothing.
 
     Only features of at least ``min_docs`` documents are learned, the ``max_features`` most frequent. ``importance`` is how
     much a document of label 0 and of label 1 counts.
     """
-    of_word: dict[str, list[str]] = {}
-    counts: dict[str, int] = {}
-    for bag in bags:
-        here = set()
-        for word in set().union(*bag):
-            here.update(of_word.setdefault(word, features(word)))
-        for f in here:
-            counts[f] = counts.get(f, 0) + 1
+    counts: Counter[str] = Counter()
+    for text in texts:
+        counts.update({f for word in set().union(*sentence_words(text)) for f in features(word)})
     known = sorted((f for f, n in counts.items() if n >= min_docs), key=lambda f: (-counts[f], f))[:max_features]
+    del counts
     place = {f: i for i, f in enumerate(known)}
-    numbers = {word: [place[f] for f in own if f in place] for word, own in of_word.items()}
-    docs = [[np.array([i for w in sorted(s) for i in numbers[w]], dtype=np.int64) for s in bag] for bag in bags]
+    # the texts are cut once more rather than kept as words, which would take many times their size
+    docs = [[np.array([place[f] for w in sorted(s) for f in features(w) if f in place], dtype=np.int32) for s in sentence_words(text)] for text in texts]
     kept = [i for i, d in enumerate(docs) if d]
     if not kept or len({labels[i] for i in kept}) < 2:
         return Model(bias=20.0 if kept and labels[kept[0]] else -20.0)
@@ -140,12 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     fits = docs.filter(F.length(F.col(text)) <= most_chars).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = stored(fits.select("doc_id").distinct().join(known, "doc_id"), "toxic-labels")
     shares = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id"))
-    drawn = rows.withColumn("rank", rank).filter(F.col("rank") <= per_label).select("doc_id", "label")
+    first = [rows.filter(F.col("label") == k).orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
+    drawn = first[0].unionByName(first[1])
     # the drawn ids are at most two times per_label
     sample = fits.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).orderBy("doc_id").collect()
     weight = [shares.get(k, 0) / max(1, min(shares.get(k, 0), per_label)) for k in (0, 1)]
-    return train([sentence_words(r["text"]) for r in sample], [r["label"] for r in sample], importance=(max(1.0, weight[0]), max(1.0, weight[1])), **settings)
+    return train([r["text"] for r in sample], [r["label"] for r in sample], importance=(max(1.0, weight[0]), max(1.0, weight[1])), **settings)
 
 
 def score_toxicity(model: Model, text: Column, threshold: float = 0.5) -> Column:
