@@ -1,7 +1,7 @@
 """Association-rule filtering of URLs; DataFrame functions only.
 
-A URL becomes a set of tokens: its host's suffixes and words, path segments with digits blotted out, query keys,
-fragment and scheme. FP-growth mines token combinations of labelled URLs; the rules whose consequence is a label and
+A URL becomes a set of tokens: its host's words, path segments with digits blotted out, query keys, fragment and scheme.
+Tokens of nearly all URLs are left out of the mining, since each would only double the combinations. FP-growth mines token combinations of labelled URLs; the rules whose consequence is a label and
 whose support and confidence are high enough are kept. For matching, a rule is filed under the rarest token of its
 antecedent: a token set looks its tokens up in this inverted index and keeps the rules whose antecedent it contains.
 URLs with the same tokens are looked up once.
@@ -51,33 +51,35 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 def url_tokens(url: Column) -> Column:
     """The sorted distinct tokens of a URL; null has none."""
     host, rest = host_of(url), F.coalesce(_after(url), F.lit(""))
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h:"), F.concat_ws(".", F.slice(labels, i, F.size(labels)))))
     words = F.transform(F.split(host, r"[.-]"), lambda w: F.concat(F.lit("w:"), w))
     segments = F.transform(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), lambda s: F.concat(F.lit("p:"), F.regexp_replace(s, "[0-9]+", "#")))
     asked = F.regexp_extract(rest, r"\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(asked, "&"), lambda p: p != ""), lambda p: F.concat(F.lit("q:"), F.regexp_extract(p, "^[^=]*", 0)))
     fragment = F.regexp_extract(rest, "#(.+)", 1)
     scheme = F.array(F.concat(F.lit("s:"), F.translate(F.regexp_extract(url, "^([^:/?#]*)://", 1), UPPER, LOWER)))
-    tokens = F.concat(suffixes, words, segments, keys, F.when(fragment != "", F.array(F.concat(F.lit("f:"), F.regexp_replace(fragment, "[0-9]+", "#")))).otherwise(F.array()), scheme)
+    tokens = F.concat(words, segments, keys, F.when(fragment != "", F.array(F.concat(F.lit("f:"), F.regexp_replace(fragment, "[0-9]+", "#")))).otherwise(F.array()), scheme)
     return F.coalesce(F.array_sort(F.array_distinct(F.when(host != "", tokens))), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = 0.002, min_rows: int = 5, min_confidence: float = 0.6) -> DataFrame:
+def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = 0.005, min_rows: int = 5, min_confidence: float = 0.6,
+         everywhere: float = 0.9) -> DataFrame:
     """Rules ``antecedent, label, confidence, support, rare`` from URLs and their labels; ``rare`` is the antecedent's rarest token.
 
     A combination counts if it occurs in a ``min_support`` part of the labelled rows and in ``min_rows`` of them. Rows
-    with a null label teach nothing, rows that repeat count each. A rule is dropped when a shorter one, part of it, has the
+    with a null label teach nothing, rows that repeat count each. Tokens of more than an ``everywhere`` part of the rows are
+    not combined. A rule is dropped when a shorter one, part of it, has the
     same label and at least its confidence. Without labelled rows there are no rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    items = labelled.filter(F.col(label).isNotNull()).select(F.concat(url_tokens(F.col(url)), F.array(F.concat(F.lit("label="), F.col(label)))).alias("items"))
-    items = stored(items, "url-items")
+    items = stored(labelled.filter(F.col(label).isNotNull()).select(url_tokens(F.col(url)).alias("tokens"), F.concat(F.lit("label="), F.col(label)).alias("item")), "url-items")
     many = items.count()
     schema = "antecedent array<string>, label string, confidence double, support double, rare string"
     if not many:
         return labelled.sparkSession.createDataFrame([], schema)
+    # at most a few tokens can each be in so many rows, as a URL has few
+    common = [r[0] for r in items.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") > everywhere * many).collect()]
+    items = items.select(F.concat(F.array_except("tokens", F.array(*[F.lit(t) for t in common]).cast("array<string>")), F.array("item")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / many)), minConfidence=min_confidence).fit(items)
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     to_label = (F.size("consequent") == 1) & F.startswith(F.col("consequent")[0], F.lit("label="))

@@ -69,7 +69,7 @@ def test_mined_rules_and_matching(spark):
     urls = [f"http://{rng.choice(('a', 'b', 'spam'))}.{rng.choice(('net', 'io'))}/{rng.choice(('x', 'y', '7'))}" for _ in range(120)]
     labels = ["block" if ("spam" in u and rng.random() < 0.9) or u.endswith("io/x") else "allow" for u in urls]
     table = spark.createDataFrame(list(zip(range(120), urls, labels)), "page_id long, url string, label string")
-    mined = url_rules.mine(table, min_support=0.03, min_rows=1, min_confidence=0.7)
+    mined = url_rules.mine(table, min_support=0.03, min_rows=1, min_confidence=0.7, everywhere=1.0)
     tokens = {r["url"]: tuple(r["t"]) for r in table.select("url", url_rules.url_tokens(F.col("url")).alias("t")).collect()}
     wanted = mined_by_loop([tokens[u] for u in urls], labels, 0.03, 0.7)
     got = {(tuple(r["antecedent"]), r["label"]): r["confidence"] for r in mined.collect()}
