@@ -5,9 +5,10 @@ keys of either collection give ``m * m`` tables for ``2 * m * rows`` minhashes,
 ``m * m * 2 * rows``. Documents with the same set of shingles are one node. Nodes that share a table key are candidates,
 and every link is confirmed on the full sets.
 
-Groups are settled without all their pairs. Each bucket is first compared with its smallest member, and what that
-links becomes one component. Only pairs of a bucket that are still in different components are compared after that, so
-no link is lost: a pair left out is one whose ends are already connected.
+Groups are settled without all their pairs. Each bucket is first compared with its smallest member, then members that
+are still in different components with a few members drawn for each bucket; what is linked becomes one component.
+At last all pairs of a bucket across components whose parity bits agree enough are compared, so no link is lost: a pair left
+out is one whose ends are already connected.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procatlas.llm.store import stored
@@ -94,8 +95,8 @@ class Signer:
         return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("minhashes", pa.list_(pa.int32())), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))])
-_SIGNED_DDL = "doc_id long, n_shingles long, set_hash binary, minhashes array<int>, first array<long>, second array<long>"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))])
+_SIGNED_DDL = "doc_id long, n_shingles long, set_hash binary, first array<long>, second array<long>"
 
 
 def _signed(docs: DataFrame, width: int, keys: int, rows: int) -> DataFrame:
@@ -104,13 +105,11 @@ def _signed(docs: DataFrame, width: int, keys: int, rows: int) -> DataFrame:
 
         shingler, signer = Shingler(width), Signer(keys, rows)
         for batch in batches:
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 shingles = shingler.shingles(text.as_py())
-                lowest = signer.minhashes(shingles)
-                partial = signer.partial(lowest).view(np.int64)
-                small = (lowest >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                row = (doc_id, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), small, partial[:keys], partial[keys:])
+                partial = signer.partial(signer.minhashes(shingles)).view(np.int64)
+                row = (doc_id, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), partial[:keys], partial[keys:])
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _SIGNED)], schema=_SIGNED)
@@ -118,16 +117,27 @@ def _signed(docs: DataFrame, width: int, keys: int, rows: int) -> DataFrame:
     return docs.mapInArrow(sign, _SIGNED_DDL)
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """4096 bits: whether an odd number of shingles falls on each.
+
+    Two sets differ in at least as many shingles as their bits differ, since what they share cancels out.
+    """
+    odd = np.bincount((shingles >> np.uint64(52)).astype(np.int64), minlength=4096) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("doc_id", pa.int64()), ("shingles", longs), ("bits", longs)])
 
     def shingle(batches):
         shingler = Shingler(width)
         for batch in batches:
-            sets = [shingler.shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=schema.field(1).type)], schema=schema)
+            sets = [shingler.shingles(t.as_py()) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([x.view(np.int64) for x in sets], type=longs), pa.array([parity_bits(x) for x in sets], type=longs)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(shingle, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(shingle, "doc_id long, shingles array<long>, bits array<long>")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -162,8 +172,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, keys: int =
     kept. Other columns are ignored, and an empty table gives an empty result.
 
     With similarity s, two documents become candidates with probability ``(1 - (1 - s ** rows) ** keys) ** 2``: 0.9985 at
-    0.8 by default. Candidates of which fewer than half of the minhashes agree are not compared in full; at 0.8 that is less
-    likely than 1 in 10 million.
+    0.8 by default. Candidates whose sets must differ in too much, as their parity bits show, are not compared in full,
+    which loses none.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = stored(_signed(slim, width, keys, rows), "near-signed")
@@ -187,46 +197,72 @@ def _components(docs: DataFrame, base: DataFrame, links: DataFrame, width: int,
     halves = signed.select("doc_id", F.posexplode("first").alias("i", "x"), "second").select("doc_id", "i", "x", F.posexplode("second").alias("j", "y"))
     keyed = halves.select("doc_id", F.xxhash64("i", "x", "j", "y").alias("key"))
     order = Window.partitionBy("key").orderBy("doc_id")
-    members = keyed.select("key", "doc_id", F.min("doc_id").over(order).alias("leader")).filter("leader <> doc_id")
-    members = stored(members, "near-members")
+    members = keyed.select("key", "doc_id", F.min("doc_id").over(order).alias("leader"), F.lead("doc_id").over(order).alias("next"))
+    members = stored(members.filter("leader <> doc_id or next is not null").drop("next"), "near-members")
 
-    wanted = members.select("doc_id").unionByName(members.select(F.col("leader").alias("doc_id"))).distinct()
-    sketches = stored(signed.join(wanted, "doc_id", "left_semi").select("doc_id", "n_shingles", "minhashes"), "near-sketches")
+    wanted = members.select("doc_id").distinct()
     sets = stored(_sets(docs.filter("doc_id is not null").join(wanted, "doc_id", "left_semi").select("doc_id", "text"), width).dropDuplicates(["doc_id", "shingles"]), "near-sets")
+    sketches = sets.select("doc_id", F.size("shingles").alias("n_shingles"), "bits")
+
+    def alike(n_one: str, n_other: str, one: str, other: str) -> Column:
+        """Whether so few bits differ that the sets may be linked."""
+        differ = F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        return differ * (100 + percent) <= (F.col(n_one) + F.col(n_other)) * (100 - percent)
+
+    def like_sized(one: str, other: str) -> Column:
+        return F.least(one, other) * 100 >= F.greatest(one, other) * percent
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The links among distinct pairs ``a, b``."""
-        left, right = (sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("minhashes").alias(f"m_{x}")) for x in "ab")
-        agree = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(left, "a").join(right, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        near = stored(near.filter(agree * 2 >= F.size("m_a")).select("a", "b").distinct(), "near-candidates")
+        left, right = (sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"m_{x}")) for x in "ab")
+        near = pairs.join(left, "a").join(right, "b").filter(like_sized("n_a", "n_b") & alike("n_a", "n_b", "m_a", "m_b")).select("a", "b").distinct()
         full = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a")), "a")
         shared = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - shared
         return stored(full.filter(shared * 100 >= union * percent).select("a", "b").distinct(), "near-links")
 
-    def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-        """The pairs whose ends are not in one component yet."""
-        left, right = (groups.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
-        joined = pairs.join(left, "a", "left").join(right, "b", "left")
-        return joined.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-    # First each node with the smallest leader of its buckets, then with its other leaders.
-    links = links.unionByName(confirmed(members.groupBy(F.col("doc_id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")))
-    groups = components(links)
-    led = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = links.unionByName(confirmed(apart(led, groups)))
+    def in_groups(groups: DataFrame) -> DataFrame:
+        """The members with the component ``c`` they are in."""
+        return members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+
+    def led(groups: DataFrame, draws: range) -> DataFrame:
+        """Pairs of members with drawn members of their bucket, in buckets of several components and only across these.
+
+        A bucket's draws differ from those of other buckets, so a node that is like part of a crowd meets many of it.
+        """
+        now = in_groups(groups)
+        drawn = [F.min_by(F.struct(F.col("doc_id"), F.col("c")), F.xxhash64("key", "doc_id", F.lit(k))).alias(f"d{k}") for k in draws]
+        several = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), *drawn).filter("low < high")
+        several = several.select(F.col("key").alias("bucket"), F.array(*[f"d{k}" for k in draws]).alias("drawn"))
+        other = F.filter("drawn", lambda d: d["c"] != F.col("c"))
+        pairs = now.join(several, (F.col("key") == F.col("bucket")) & (F.size(other) > 0)).select("doc_id", F.explode(other).alias("d"))
+        return pairs.select(F.least("doc_id", "d.doc_id").alias("a"), F.greatest("doc_id", "d.doc_id").alias("b")).distinct()
+
+    def across(groups: DataFrame) -> DataFrame:
+        """In each bucket, all pairs across components that may be links; one end is not with the bucket's smallest member."""
+        now = in_groups(groups).join(groups.select(F.col("node").alias("leader"), F.col("component").alias("c_leader")), "leader", "left")
+        now = now.withColumn("stray", F.col("c") != F.coalesce("c_leader", "leader"))
+        mixed = now.filter("stray").select("key").distinct()
+        now = now.join(mixed, "key", "left_semi").select("key", "doc_id", "c", "stray")
+        now = now.join(sketches.select("doc_id", F.col("n_shingles").alias("n"), F.col("bits").alias("m")), "doc_id")
+        side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("c", "n", "m")]
+        strays = now.filter("stray").select("key", F.col("doc_id").alias("a"), *side("a"))
+        others = now.select(F.col("key").alias("bucket"), F.col("doc_id").alias("b"), "stray", *side("b"))
+        once = ~F.col("stray") | (F.col("a") < F.col("b"))
+        found = strays.join(others, (F.col("key") == F.col("bucket")) & (F.col("c_a") != F.col("c_b")) & once & like_sized("n_a", "n_b") & alike("n_a", "n_b", "m_a", "m_b"))
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    # First each node with the smallest member of its buckets, then across components with drawn members, twice, then all that is left.
+    pairs = members.filter("leader <> doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    links = links.unionByName(confirmed(pairs))
     groups = components(links)
-    # Then, in the buckets that still hold several components, the members that are not with their leader with all the others.
-    of = groups.select(F.col("node").alias("doc_id"), F.col("component"))
-    placed = members.join(of, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-    placed = placed.join(of.select(F.col("doc_id").alias("leader"), F.col("component").alias("c_leader")), "leader", "left").withColumn("c_leader", F.coalesce("c_leader", "leader"))
-    placed = stored(placed.join(sketches.select("doc_id", "n_shingles"), "doc_id"), "near-placed")
-    strays = placed.filter("c <> c_leader").select("key", F.col("doc_id").alias("a"), F.col("c").alias("c_a"), F.col("n_shingles").alias("n_a"))
-    others = placed.select("key", F.col("doc_id").alias("b"), F.col("c").alias("c_b"), F.col("n_shingles").alias("n_b"), (F.col("c") != F.col("c_leader")).alias("stray"))
-    fits = (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (~F.col("stray") | (F.col("a") < F.col("b")))
-    left = strays.join(others, "key").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return components(links.unionByName(confirmed(left)))
+    for find in (lambda g: led(g, range(3)), lambda g: led(g, range(3, 9)), across):
+        pairs = stored(find(groups), "near-pairs")
+        new = pairs if pairs.isEmpty() else confirmed(pairs)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            groups = components(links)
+    return groups
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
