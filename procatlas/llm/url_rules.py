@@ -1,15 +1,17 @@
 """Association-rule filtering of URLs; DataFrame functions only.
 
 A URL becomes a set of tokens: its host's words, path segments with digits blotted out, query keys, fragment and scheme.
-Tokens of nearly all URLs are left out of the mining, since each would only double the combinations. FP-growth mines token combinations of labelled URLs; the rules whose consequence is a label and
-whose support and confidence are high enough are kept. For matching, a rule is filed under the rarest token of its
+Tokens of nearly all URLs are left out of the mining, since each would only double the combinations. Token combinations of labelled URLs are mined round by round;
+the rules whose consequence is a label and whose support and confidence are high enough are kept. For matching, a rule is filed under the rarest token of its
 antecedent: a token set looks its tokens up in this inverted index and keeps the rules whose antecedent it contains.
 URLs with the same tokens are looked up once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,37 +63,75 @@ def url_tokens(url: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(F.when(host != "", tokens))), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = 0.005, min_rows: int = 5, min_confidence: float = 0.6,
+def _pairs(sets: Column) -> Column:
+    """The sets of one token more that two of the given sorted sets make, where they differ in the last token alone."""
+    head = lambda a: F.slice(a, 1, F.size(a) - 1)
+    later = lambda a, i: F.filter(F.slice(sets, i + 2, F.size(sets)), lambda b: head(a) == head(b))
+    return F.flatten(F.transform(sets, lambda a, i: F.transform(later(a, i), lambda b: F.concat(a, F.slice(b, -1, 1)))))
+
+
+def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = 0.0, min_rows: int = 5, min_confidence: float = 0.6,
          everywhere: float = 0.9) -> DataFrame:
     """Rules ``antecedent, label, confidence, support, rare`` from URLs and their labels; ``rare`` is the antecedent's rarest token.
 
-    A combination counts if it occurs in a ``min_support`` part of the labelled rows and in ``min_rows`` of them. Rows
-    with a null label teach nothing, rows that repeat count each. Tokens of more than an ``everywhere`` part of the rows are
+    A rule's antecedent and label occur together in ``min_rows`` of the labelled rows, a number that does not grow with
+    the table, and in a ``min_support`` part of them if that is given. Rows with a null label teach nothing, rows that
+    repeat count each. Tokens of more than an ``everywhere`` part of the rows are
     not combined. A rule is dropped when a shorter one, part of it, has the
     same label and at least its confidence. Without labelled rows there are no rules.
-    """
-    from pyspark.ml.fpm import FPGrowth
 
-    items = stored(labelled.filter(F.col(label).isNotNull()).select(url_tokens(F.col(url)).alias("tokens"), F.concat(F.lit("label="), F.col(label)).alias("item")), "url-items")
-    many = items.count()
-    schema = "antecedent array<string>, label string, confidence double, support double, rare string"
+    Equal token sets are counted once. Combinations grow by one token a round. One that is in the same rows as a part of
+    it says what the part says, as does all that contains it, and one with a single label cannot be bettered, so neither grows.
+    """
+    spark = labelled.sparkSession
+    rows = labelled.filter(F.col(label).isNotNull()).select(url_tokens(F.col(url)).alias("tokens"), F.col(label).alias("label"))
+    sets = stored(rows.groupBy("tokens", "label").agg(F.count("*").alias("n")), "url-sets")
+    each = {r[0]: r[1] for r in sets.groupBy("label").agg(F.sum("n")).orderBy("label").collect()}
+    many = sum(each.values())
     if not many:
-        return labelled.sparkSession.createDataFrame([], schema)
-    # at most a few tokens can each be in so many rows, as a URL has few
-    common = [r[0] for r in items.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") > everywhere * many).collect()]
-    items = items.select(F.concat(F.array_except("tokens", F.array(*[F.lit(t) for t in common]).cast("array<string>")), F.array("item")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / many)), minConfidence=min_confidence).fit(items)
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    to_label = (F.size("consequent") == 1) & F.startswith(F.col("consequent")[0], F.lit("label="))
-    rules = model.associationRules.filter(to_label).select(F.array_sort("antecedent").alias("antecedent"), F.substr(F.col("consequent")[0], F.lit(7)).alias("label"), "confidence", "support")
-    tokens = rules.select("antecedent", "label", "confidence", "support", F.explode("antecedent").alias("token"))
-    rules = tokens.join(single, "token").groupBy("antecedent", "label", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("rare"))
-    rules = stored(rules, "url-rules")
-    shorter = rules.select(F.col("antecedent").alias("part"), F.col("label").alias("part_label"), F.col("confidence").alias("part_confidence"), F.col("rare").alias("part_rare"))
-    longer = rules.select("antecedent", "label", "confidence", F.explode("antecedent").alias("token"))
-    within = (F.col("token") == F.col("part_rare")) & (F.col("label") == F.col("part_label")) & (F.col("part_confidence") >= F.col("confidence"))
-    beaten = longer.join(shorter, within).filter((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0))
-    return stored(rules.join(beaten.select("antecedent", "label"), ["antecedent", "label"], "left_anti"), "url-pruned")
+        return spark.createDataFrame([], "antecedent array<string>, label string, confidence double, support double, rare string")
+    labels, least = list(each), max(1, min_rows, math.ceil(min_support * many))
+    counts = lambda n: F.array(*[F.sum(n(i)) for i in range(len(labels))])
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def judged(found: DataFrame) -> DataFrame:
+        """What a round leaves: ``c`` with its counts, and for each label whether it is a rule and the best confidence up to it."""
+        sure = [F.col("n")[i] / F.col("total") for i in range(len(labels))]
+        held = [(F.col("n")[i] >= least) & (sure[i] >= min_confidence) for i in range(len(labels))]
+        found = found.withColumn("rules", F.array(*[held[i] & (sure[i] > F.col("best")[i]) for i in range(len(labels))]))
+        return found.withColumn("best", F.array(*[F.greatest(F.col("best")[i], F.when(held[i], sure[i]).otherwise(-1.0)) for i in range(len(labels))]))
+
+    sets = sets.groupBy("tokens").agg(counts(lambda i: F.when(F.col("label") == labels[i], F.col("n")).otherwise(0)).alias("n")).withColumn("id", F.md5(F.concat_ws("\n", "tokens")))
+    pieces = sets.select("id", "n", F.explode("tokens").alias("token")).select("id", "n", F.array("token").alias("c"))
+    rounds: list[DataFrame] = []
+    while True:
+        found = pieces.groupBy("c").agg(counts(lambda i: F.col("n")[i]).alias("n")).filter(F.array_max("n") >= least).withColumn("total", total)
+        if not rounds:
+            # a token in all rows says what no token says, so it is a rule at most and does not grow
+            found = found.filter(F.col("total") <= everywhere * many).withColumn("best", F.array(*[F.lit(-1.0)] * len(labels)))
+            found = found.withColumn("rare", F.struct(F.col("total").alias("freq"), F.col("c")[0].alias("token")))
+        else:
+            parts = found.select("c", "n", "total", F.explode(F.transform("c", lambda t: F.array_except("c", F.array(t)))).alias("part"))
+            before = rounds[-1].filter("grows").select(F.col("c").alias("part"), F.col("total").alias("above"), F.col("best").alias("part_best"), F.col("rare").alias("part_rare"))
+            best = F.array(*[F.max(F.col("part_best")[i]) for i in range(len(labels))])
+            found = parts.join(before, "part").groupBy("c", "n", "total").agg(F.count("*").alias("k"), F.min("above").alias("above"), best.alias("best"), F.min("part_rare").alias("rare"))
+            found = found.filter((F.col("k") == F.size("c")) & (F.col("total") < F.col("above"))).drop("k", "above")
+        found = judged(found).withColumn("grows", (F.array_max("n") < F.col("total")) & (F.col("total") < many))
+        rounds.append(stored(found, "url-round"))
+        # row by row the combinations that grow, and of each two the one that holds both
+        held = pieces.join(rounds[-1].filter("grows").select("c"), "c").groupBy("id").agg(F.any_value("n").alias("n"), F.array_sort(F.collect_list("c")).alias("held"))
+        pieces = stored(held.select("id", "n", F.explode(_pairs(F.col("held"))).alias("c")), "url-pieces")
+        if pieces.isEmpty():
+            break
+    rules = reduce(DataFrame.unionByName, rounds).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(labels) - 1)))).filter(F.col("rules")[F.col("i")])
+    own = F.col("n")[F.col("i")]
+    return stored(
+        rules.select(
+            F.col("c").alias("antecedent"), F.array(*[F.lit(x) for x in labels])[F.col("i")].alias("label"), (own / F.col("total")).alias("confidence"),
+            (own / F.lit(many)).alias("support"), F.col("rare.token").alias("rare"),
+        ),
+        "url-rules",
+    )
 
 
 def match(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLOW) -> DataFrame:

@@ -83,6 +83,13 @@ def test_mined_rules_and_matching(spark):
         assert (r["verdict"], r["antecedent"]) == (best[4], best[3])
 
 
+def test_rule_of_a_small_part_of_a_large_table(spark):
+    """A host with 9 of 2,500 labelled rows is learned: a count decides, not a share that grows with the table."""
+    urls = [(f"http://h{i % 40}.net/x", "allow") for i in range(2491)] + [(f"http://deals.net/{i}", "block") for i in range(9)]
+    mined = url_rules.mine(spark.createDataFrame(urls, "url string, label string"))
+    assert ("w:deals",) in {tuple(r["antecedent"]) for r in mined.filter("label = 'block'").collect()}
+
+
 def top_by_loop(rows, k, every):
     ints = []
     for i, v in rows:
