@@ -1,7 +1,7 @@
 """Association-rule filtering of URLs; DataFrame functions only.
 
 A URL becomes a set of tokens: its host's words, path segments with digits blotted out, query keys, fragment and scheme.
-Tokens of nearly all URLs are left out of the mining, since each would only double the combinations. Token combinations of labelled URLs are mined round by round;
+Token combinations of labelled URLs are mined round by round;
 the rules whose consequence is a label and whose support and confidence are high enough are kept. For matching, a rule is filed under the rarest token of its
 antecedent: a token set looks its tokens up in this inverted index and keeps the rules whose antecedent it contains.
 URLs with the same tokens are looked up once.
@@ -71,13 +71,13 @@ def _pairs(sets: Column) -> Column:
 
 
 def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = 0.0, min_rows: int = 5, min_confidence: float = 0.6,
-         everywhere: float = 0.9) -> DataFrame:
+         everywhere: float = 1.0) -> DataFrame:
     """Rules ``antecedent, label, confidence, support, rare`` from URLs and their labels; ``rare`` is the antecedent's rarest token.
 
     A rule's antecedent and label occur together in ``min_rows`` of the labelled rows, a number that does not grow with
     the table, and in a ``min_support`` part of them if that is given. Rows with a null label teach nothing, rows that
-    repeat count each. Tokens of more than an ``everywhere`` part of the rows are
-    not combined. A rule is dropped when a shorter one, part of it, has the
+    repeat count each. Tokens of all rows and of nearly all are mined like others; only a caller that gives
+    an ``everywhere`` under 1 leaves out those of a greater part of the rows. A rule is dropped when a shorter one, part of it, has the
     same label and at least its confidence. Without labelled rows there are no rules.
 
     Equal token sets are counted once. Combinations grow by one token a round. One that is in the same rows as a part of
