@@ -14,9 +14,6 @@ CHECKS: dict[str, str] = {}
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Seeds of the URL labels: words of hosts that no corpus wants.
-NUISANCES = ("adult", "ads", "bets", "casino", "pills", "spam")
-
 
 def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
@@ -64,13 +61,13 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_url_rules")
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled by the quality of the document it shows; a host with a word of a known nuisance is labelled block."""
+    """A page is labelled by the quality of the document it shows, and by nothing else; block rules are kept by their lift."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     quality = table(spark, sf_dir, "labels").filter("quality in (0, 1)").groupBy(F.col("doc_id").alias("shown")).agg(F.min("quality").alias("quality"))
-    nuisance = F.arrays_overlap(F.split(url_rules.host_of(F.col("url")), "[.-]"), F.array(*[F.lit(w) for w in NUISANCES]))
-    label = F.when(nuisance | (F.col("quality") == 0), url_rules.BLOCK).when(F.col("quality") == 1, url_rules.ALLOW)
-    labelled = pages.select("url", page_document(F.col("url")).alias("shown")).join(quality, "shown", "left").select("url", label.alias("label"))
-    return url_rules.judge_urls(pages, url_rules.mine(labelled), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "confidence")
+    label = F.when(F.col("quality") == 0, url_rules.BLOCK).when(F.col("quality") == 1, url_rules.ALLOW)
+    labelled = pages.select("url", page_document(F.col("url")).alias("shown")).join(quality, "shown").select("url", label.alias("label"))
+    mined = url_rules.mine(labelled, min_lift=2.0)
+    return url_rules.judge_urls(pages, mined, URL_RULES, by="lift").select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
 @query("op4_language_id")

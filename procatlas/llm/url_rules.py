@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from procatlas.llm.store import stored
 
 ALLOW, BLOCK = "allow", "block"
+CHANCE = 4.0  #: deviations of a confidence that count as chance
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,8 +72,13 @@ def _pairs(sets: Column) -> Column:
 
 
 def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = 0.0, min_rows: int = 5, min_confidence: float = 0.6,
-         everywhere: float = 1.0) -> DataFrame:
-    """Rules ``antecedent, label, confidence, support, rare`` from URLs and their labels; ``rare`` is the antecedent's rarest token.
+         everywhere: float = 1.0, min_lift: float | None = None) -> DataFrame:
+    """Rules ``antecedent, label, confidence, support, rare, lift`` from URLs and their labels; ``rare`` is the antecedent's rarest token.
+
+    ``lift`` is the confidence over the label's part of all labelled rows. With ``min_lift`` a rule of less than
+    ``min_confidence`` is kept too if it has that lift and is not chance: of a rare label no combination may be sure, though
+    some hold it far more often. Chance is what Wilson's lower bound of the confidence, four deviations down, leaves at the
+    label's part or under it; thousands of combinations are tried, so some reach a lift of 2 in 5 rows by luck.
 
     A rule's antecedent and label occur together in ``min_rows`` of the labelled rows, a number that does not grow with
     the table, and in a ``min_support`` part of them if that is given. Rows with a null label teach nothing, rows that
@@ -89,15 +95,23 @@ def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_suppor
     each = {r[0]: r[1] for r in sets.groupBy("label").agg(F.sum("n")).orderBy("label").collect()}
     many = sum(each.values())
     if not many:
-        return spark.createDataFrame([], "antecedent array<string>, label string, confidence double, support double, rare string")
+        return spark.createDataFrame([], "antecedent array<string>, label string, confidence double, support double, rare string, lift double")
+    bases = [n / many for n in each.values()]
     labels, least = list(each), max(1, min_rows, math.ceil(min_support * many))
     counts = lambda n: F.array(*[F.sum(n(i)) for i in range(len(labels))])
     total = F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)
 
+    def lifted(sure: Column, base: float) -> Column:
+        if min_lift is None:
+            return F.lit(False)
+        n, zz = F.col("total"), CHANCE * CHANCE
+        lower = (sure + zz / (2 * n) - CHANCE * F.sqrt(sure * (1 - sure) / n + zz / (4 * n * n))) / (1 + zz / n)
+        return (sure >= min_lift * base) & (lower > base)
+
     def judged(found: DataFrame) -> DataFrame:
         """What a round leaves: ``c`` with its counts, and for each label whether it is a rule and the best confidence up to it."""
         sure = [F.col("n")[i] / F.col("total") for i in range(len(labels))]
-        held = [(F.col("n")[i] >= least) & (sure[i] >= min_confidence) for i in range(len(labels))]
+        held = [(F.col("n")[i] >= least) & ((sure[i] >= min_confidence) | lifted(sure[i], bases[i])) for i in range(len(labels))]
         found = found.withColumn("rules", F.array(*[held[i] & (sure[i] > F.col("best")[i]) for i in range(len(labels))]))
         return found.withColumn("best", F.array(*[F.greatest(F.col("best")[i], F.when(held[i], sure[i]).otherwise(-1.0)) for i in range(len(labels))]))
 
@@ -124,41 +138,42 @@ def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_suppor
         if pieces.isEmpty():
             break
     rules = reduce(DataFrame.unionByName, rounds).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(labels) - 1)))).filter(F.col("rules")[F.col("i")])
-    own = F.col("n")[F.col("i")]
+    own, base = F.col("n")[F.col("i")], F.array(*[F.lit(b) for b in bases])[F.col("i")]
     return stored(
         rules.select(
             F.col("c").alias("antecedent"), F.array(*[F.lit(x) for x in labels])[F.col("i")].alias("label"), (own / F.col("total")).alias("confidence"),
-            (own / F.lit(many)).alias("support"), F.col("rare.token").alias("rare"),
+            (own / F.lit(many)).alias("support"), F.col("rare.token").alias("rare"), (own / F.col("total") / base).alias("lift"),
         ),
         "url-rules",
     )
 
 
-def match(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLOW) -> DataFrame:
+def match(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLOW, by: str = "confidence") -> DataFrame:
     """The rows, inside ``row``, beside ``verdict, confidence, antecedent`` of the rule that decides.
 
-    Of the rules that match, the most confident decides, then the one with more support, the shorter, and the first by
-    text. Where none matches, also for null URLs, the verdict is ``default`` and the others are null.
+    Of the rules that match, the one with the most of ``by`` decides, confidence or lift, then the most confident, the one with more
+    support, the shorter, and the first by text. Where none matches, also for null URLs, the verdict is ``default`` and the others are null.
     """
     whole = urls.select(F.struct(*[urls[f"`{c}`"] for c in urls.columns]).alias("row"), url_tokens(F.col(url)).alias("tokens"))
     whole = whole.withColumn("key", F.md5(F.concat_ws("\n", "tokens")))
     sets = whole.select("key", "tokens").groupBy("key").agg(F.any_value("tokens").alias("tokens"))
     looked_up = sets.select("key", "tokens", F.explode("tokens").alias("rare")).join(rules, "rare")
     hits = looked_up.filter(F.size(F.array_except("antecedent", "tokens")) == 0)
-    order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("antecedent").alias("n"), F.col("antecedent").alias("antecedent"), F.col("label").alias("label"))
+    order = F.struct((-F.col(by)).alias("by"), (-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("antecedent").alias("n"), F.col("antecedent").alias("antecedent"), F.col("label").alias("label"))
     best = hits.groupBy("key").agg(F.min(order).alias("best"))
     return whole.join(best, "key", "left").select(
         "row", F.coalesce("best.label", F.lit(default)).alias("verdict"), (-F.col("best.c")).alias("confidence"), F.col("best.antecedent").alias("antecedent")
     )
 
 
-def judge_urls(pages: DataFrame, mined: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", default: str = ALLOW) -> DataFrame:
+def judge_urls(pages: DataFrame, mined: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", default: str = ALLOW,
+               by: str = "confidence") -> DataFrame:
     """One row per input row: ``page_id, host, path, rule, verdict, confidence, antecedent``.
 
     The longest given rule that fits decides; else the mined rules do. Rows that repeat and rows without an id are judged
     each, other columns are ignored, and an empty table gives an empty result.
     """
-    judged = match(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), mined, default=default)
+    judged = match(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")), mined, default=default, by=by)
     judged = judged.withColumn("host", host_of(F.col("row.url"))).withColumn("path", path_of(F.col("row.url")))
     judged = judged.withColumn("given", fitting_rule(F.col("host"), F.col("path"), rules))
     return judged.select(

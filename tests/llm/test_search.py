@@ -103,6 +103,18 @@ def test_rules_on_tokens_of_nearly_all_urls(spark):
     assert got == pytest.approx(wanted)
 
 
+def test_url_labels_come_from_the_labels_alone(spark, tmp_path):
+    """A host is blocked for its labels at a lift over the block base rate, whatever its words are."""
+    hosts = [(f"h{i % 30}.net", 0 if i // 30 % 15 == 0 else 1) for i in range(900)] + [("zorp.net", 0 if i % 5 < 2 else 1) for i in range(80)] + [("casino-win.net", 1)] * 20
+    pages = [(i, f"http://{h}/en/{i}", "") for i, (h, _) in enumerate(hosts)] + [(5000, "http://zorp.net/en/5000", ""), (5001, "http://casino-win.net/en/5001", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, q, 0) for i, (_, q) in enumerate(hosts)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = {r["page_id"]: (r["verdict"], r["confidence"]) for r in queries.op3_url_rules(spark, str(tmp_path)).collect()}
+    assert found[5000] == ("block", pytest.approx(0.4))
+    assert found[5001][0] == "allow"
+    assert sum(v == "block" for v, _ in found.values()) == 81
+
+
 def top_by_loop(rows, k, every):
     ints = []
     for i, v in rows:
