@@ -26,7 +26,9 @@ MOST_CHARS = 40_000  # of a training page, and of its known text
 EXTRACTED = "text string, blocks array<struct<text:string,score:double>>"
 
 # Names of HTML elements, and names that pages usually give to their parts.
-RAW = ("script", "style", "template", "svg", "iframe", "noembed", "noframes", "object", "math", "canvas", "xmp", "title")
+RAW = ("script", "style", "template", "svg", "iframe", "noembed", "noframes", "canvas", "xmp", "title")
+NESTED = ("template", "svg", "canvas")  # of these, those that can hold their like
+FORMULA = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SAME_CLOSES = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
@@ -47,6 +49,7 @@ _NAMES = re.compile(r"""(?:\s|^)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"\w+")
 _END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+_EITHER = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I) for tag in NESTED}
 
 
 @dataclass
@@ -58,13 +61,38 @@ class Leaf:
     linked: int = 0
 
 
+def _raw_end(tag: str, page: str, at: int, odd: set[str]) -> re.Match | None:
+    """The end tag of a raw element that starts before ``at``; null without one. ``odd`` gets what need not be looked for again."""
+    if tag in odd:
+        return None
+    first, open_ = None, 1
+    if tag in NESTED and f"{tag} unbalanced" not in odd:
+        for found in _EITHER[tag].finditer(page, at):
+            if found.group(1):
+                first, open_ = first or found, open_ - 1
+                if not open_:
+                    return found
+            elif tag != "svg" or not found.group(2):
+                open_ += 1
+        odd.add(f"{tag} unbalanced")  # from here on the next end tag is the one
+    else:
+        first = _END[tag].search(page, at)
+    if first is None:
+        odd.add(tag)
+    return first
+
+
 def leaves(page: str | None) -> list[Leaf]:
-    """The blocks of a page in order, without empty ones; scripts, styles, comments and markup give none."""
+    """The blocks of a page in order, without empty ones; scripts, styles, comments and markup give none.
+
+    A formula is part of the text around it. Raw elements without an end tag, other than scripts and styles, are not skipped.
+    """
     page = page or ""
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     state = {"linked": 0}
+    odd: set[str] = set()
 
     def close() -> None:
         text = " ".join(html.unescape("".join(held)).split())
@@ -89,7 +117,7 @@ def leaves(page: str | None) -> list[Leaf]:
         tag, closing = found.group(2).lower(), bool(found.group(1))
         if tag == "a":
             anchors = max(0, anchors - 1) if closing else anchors + 1
-        if tag in INLINE:
+        if tag in INLINE or tag in FORMULA:
             continue
         close()
         if closing:
@@ -99,8 +127,18 @@ def leaves(page: str | None) -> list[Leaf]:
                     break
             continue
         if tag in RAW:
-            end = _END[tag].search(page, at)
-            at = end.end() if end else len(page)
+            if tag == "svg" and found.group(3).endswith("/"):
+                continue
+            end = _raw_end(tag, page, at, odd)
+            if end is None:
+                at = len(page) if tag in ("script", "style") else at
+                continue
+            if tag == "xmp":  # its text is as written
+                held.append(html.escape(page[at : end.start()], quote=False))
+                stack.append((tag, (tag,)))
+                close()
+                stack.pop()
+            at = end.end()
             continue
         if tag in VOID or found.group(3).endswith("/"):
             continue

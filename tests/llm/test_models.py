@@ -142,6 +142,16 @@ def test_blocks_of_markup():
     assert len(html_blocks.leaves("<div>" * 3000 + "deep")) == 1
 
 
+def test_blocks_beside_drawings_and_formulas():
+    texts = lambda page: [b.text for b in html_blocks.leaves(page)]
+    assert texts("<p>a</p><svg viewBox='0'/><p>b</p><svg><text>no</text></svg><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>a</p><svg/><p>b</p>") == ["a", "b"] and texts("<p>a</p><math/><p>b</p>") == ["a", "b"]
+    assert texts("<svg><svg>no</svg><svg/>no</svg><p>b") == ["b"] and texts("<svg><p>b<template>c") == ["b", "c"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert texts("<object data='f'><param name=a><p>instead</p></object><xmp><b>1 &lt; 2</b></xmp>d") == ["instead", "<b>1 &lt; 2</b>", "d"]
+    assert texts("<p>a<script>no<p>no") == ["a"] and len(texts("<svg><svg></svg><p>x" * 20_000)) == 20_000
+
+
 def test_main_text_in_known_and_other_templates(spark, block_model):
     rng = random.Random(7)
     wanted, pages = [], []
