@@ -79,15 +79,29 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), judged.alias("judged")).select("doc_id", "held_out", "judged.*")
 
 
+def training_pages(pages: DataFrame, docs: DataFrame, many: int = 600) -> DataFrame:
+    """Document and html hash, ``shown`` and ``draw``, of the ``many`` first by hash of the pages that can teach; no text leaves the scans.
+
+    Page and document together are as short as fit() asks; of documents that share an id the shortest counts, the one with
+    a text. Pages that repeat count once.
+    """
+    usable = docs.filter((F.length("text") > 0) & (F.length("text") <= html_blocks.MOST_CHARS)).groupBy(F.col("doc_id").alias("shown")).agg(F.min(F.length("text")).alias("chars"))
+    asked = pages.select(page_document(F.col("url")).alias("shown"), F.xxhash64("html").alias("draw"), F.length("html").alias("size"))
+    asked = asked.filter(F.col("shown").isNotNull() & (F.col("size") <= html_blocks.MOST_CHARS)).distinct()
+    fits = asked.join(usable, "shown").filter(F.col("size") + F.col("chars") <= html_blocks.MOST_CHARS)
+    return fits.orderBy("draw", "shown").limit(many).select("shown", "draw")
+
+
 @query("op5_html_blocks")
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labeller learns from pages whose document is in the table; of 600 pages that may have one, not more than fit() takes."""
+    """The labeller learns from pages whose document is in the table and has a text; of these 600 are drawn, more than fit() takes."""
     pages, docs = table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents")
-    shown = page_document(F.col("url")).alias("shown")
-    asked = pages.filter((F.length("html") <= html_blocks.MOST_CHARS) & shown.isNotNull()).select("html", shown)
-    asked = stored(asked.orderBy(F.xxhash64("html"), "html").limit(600), "pages-asked")
-    ids = asked.select(F.col("shown").alias("doc_id")).distinct()
-    known = docs.filter(F.length("text") <= html_blocks.MOST_CHARS).join(F.broadcast(ids), "doc_id").groupBy(F.col("doc_id").alias("shown")).agg(F.min("text").alias("truth"))
+    drawn = stored(training_pages(pages, docs), "pages-drawn")
+    asked = pages.select("html", page_document(F.col("url")).alias("shown"), F.xxhash64("html").alias("draw")).join(F.broadcast(drawn), ["shown", "draw"])
+    asked = asked.groupBy("shown", "draw").agg(F.min("html").alias("html"))
+    ids = drawn.select(F.col("shown").alias("doc_id")).distinct()
+    truths = docs.filter(F.length("text") > 0).join(F.broadcast(ids), "doc_id").groupBy(F.col("doc_id").alias("shown"))
+    known = truths.agg(F.min(F.struct(F.length("text"), "text"))["text"].alias("truth"))
     model = html_blocks.fit(asked.join(known, "shown"))
     found = html_blocks.extract_text(model, F.col("html"))
     return pages.select("page_id", "url", found.alias("found")).select("page_id", "url", "found.text", F.length("found.text").cast("long").alias("n_chars"))

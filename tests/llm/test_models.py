@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from llm import cases
-from procatlas.llm import html_blocks, language, toxicity
+from procatlas.llm import html_blocks, language, queries, toxicity
 from pyspark.sql import functions as F
 
 
@@ -152,6 +152,15 @@ def test_blocks_beside_drawings_and_formulas():
     assert texts("<p>a<script>no<p>no") == ["a"] and len(texts("<svg><svg></svg><p>x" * 20_000)) == 20_000
 
 
+def test_training_pages_are_drawn_from_those_that_can_teach(spark):
+    """Among 3,000 pages without a usable document the 7 that have one are all found."""
+    pages = [(i, f"http://a.net/en/{i}", f"<p>page {i}") for i in range(3000)] + [(9, "http://a.net/en/7", "<p>" + "x" * 50_000)]
+    docs = [(i * 400, "a text") for i in range(7)] + [(11, None), (12, ""), (13, "y" * 50_000), (400, "a longer text")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = queries.training_pages(table, spark.createDataFrame(docs, "doc_id long, text string"), many=20).collect()
+    assert sorted(r["shown"] for r in found) == [i * 400 for i in range(7)]
+
+
 def test_main_text_in_known_and_other_templates(spark, block_model):
     rng = random.Random(7)
     wanted, pages = [], []
