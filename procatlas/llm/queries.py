@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procatlas.llm import exact_dedup, html_blocks, language, mixing, near_dedup, packing, records, topk, toxicity, url_rules
+from procatlas.llm import centroids, checks, exact_dedup, host_quality, html_blocks, language, mixing, near_dedup, packing, records, topk, toxicity, url_rules, whitening
 from procatlas.llm.store import place, stored
 from procatlas.plans.registry import Query
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,3 +156,20 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_host_quality", checks.host_quality())
+def op11_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source."""
+    judged = host_quality.judge_documents(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op12_cholesky_whitening")
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_centroids", checks.clusters())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
