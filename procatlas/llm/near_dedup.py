@@ -140,7 +140,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(shingle, "doc_id long, shingles array<long>, bits array<long>")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, component`` of undirected ``a, b`` links of longs: the smallest node reachable. Nodes without links have no row.
 
     Each round joins every node to the smallest neighbour of its neighbours (large star, then small star), which
@@ -148,7 +148,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "star-links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -159,7 +159,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
-    raise RuntimeError("links did not settle")
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, keys: int = 10, rows: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -194,10 +193,10 @@ def _components(docs: DataFrame, base: DataFrame, links: DataFrame, width: int,
     nodes = linked.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"))
     signed = stored(linked.join(nodes, ["set_hash", "doc_id"], "left_semi").dropDuplicates(["set_hash", "doc_id"]), "near-nodes")
 
-    halves = signed.select("doc_id", F.posexplode("first").alias("i", "x"), "second").select("doc_id", "i", "x", F.posexplode("second").alias("j", "y"))
-    keyed = halves.select("doc_id", F.xxhash64("i", "x", "j", "y").alias("key"))
+    halves = signed.select("doc_id", "n_shingles", F.posexplode("first").alias("i", "x"), "second").select("doc_id", "n_shingles", "i", "x", F.posexplode("second").alias("j", "y"))
+    keyed = halves.select("doc_id", F.col("n_shingles").alias("n"), F.xxhash64("i", "x", "j", "y").alias("key"))
     order = Window.partitionBy("key").orderBy("doc_id")
-    members = keyed.select("key", "doc_id", F.min("doc_id").over(order).alias("leader"), F.lead("doc_id").over(order).alias("next"))
+    members = keyed.select("key", "doc_id", "n", F.min("doc_id").over(order).alias("leader"), F.lead("doc_id").over(order).alias("next"))
     members = stored(members.filter("leader <> doc_id or next is not null").drop("next"), "near-members")
 
     wanted = members.select("doc_id").distinct()
@@ -209,7 +208,7 @@ def _components(docs: DataFrame, base: DataFrame, links: DataFrame, width: int,
         differ = F.aggregate(F.zip_with(one, other, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
         return differ * (100 + percent) <= (F.col(n_one) + F.col(n_other)) * (100 - percent)
 
-    def like_sized(one: str, other: str) -> Column:
+    def like_sized(one: Column | str, other: Column | str) -> Column:
         return F.least(one, other) * 100 >= F.greatest(one, other) * percent
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -226,25 +225,27 @@ def _components(docs: DataFrame, base: DataFrame, links: DataFrame, width: int,
         return members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
 
     def led(groups: DataFrame, draws: range) -> DataFrame:
-        """Pairs of members with drawn members of their bucket, in buckets of several components and only across these.
+        """One pair of a node with each other component among the drawn members of its buckets that are like it in size.
 
-        A bucket's draws differ from those of other buckets, so a node that is like part of a crowd meets many of it.
+        Only buckets of several components are asked. A bucket's draws differ from those of other buckets, so a node that is like part of a crowd meets many of it.
         """
         now = in_groups(groups)
-        drawn = [F.min_by(F.struct(F.col("doc_id"), F.col("c")), F.xxhash64("key", "doc_id", F.lit(k))).alias(f"d{k}") for k in draws]
+        drawn = [F.min_by(F.struct(F.col("doc_id"), F.col("c"), F.col("n")), F.xxhash64("key", "doc_id", F.lit(k))).alias(f"d{k}") for k in draws]
         several = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), *drawn).filter("low < high")
-        several = several.select(F.col("key").alias("bucket"), F.array(*[f"d{k}" for k in draws]).alias("drawn"))
-        other = F.filter("drawn", lambda d: d["c"] != F.col("c"))
-        pairs = now.join(several, (F.col("key") == F.col("bucket")) & (F.size(other) > 0)).select("doc_id", F.explode(other).alias("d"))
-        return pairs.select(F.least("doc_id", "d.doc_id").alias("a"), F.greatest("doc_id", "d.doc_id").alias("b")).distinct()
+        several = several.select(F.col("key").alias("bucket"), F.array_distinct(F.array(*[f"d{k}" for k in draws])).alias("drawn"))
+        other = F.filter("drawn", lambda d: (d["c"] != F.col("c")) & like_sized(F.col("n"), d["n"]))
+        met = now.join(several, (F.col("key") == F.col("bucket")) & (F.size(other) > 0)).select("doc_id", "n", F.explode(other).alias("d"))
+        # Of another component's members that a node meets, in whatever buckets, the one nearest in size stands for all.
+        once = met.groupBy("doc_id", F.col("d.c").alias("c")).agg(F.min(F.struct(F.abs(F.col("n") - F.col("d.n")).alias("gap"), F.col("d.doc_id").alias("doc_id"))).alias("near"))
+        return once.select(F.least("doc_id", "near.doc_id").alias("a"), F.greatest("doc_id", "near.doc_id").alias("b")).distinct()
 
     def across(groups: DataFrame) -> DataFrame:
         """In each bucket, all pairs across components that may be links; one end is not with the bucket's smallest member."""
         now = in_groups(groups).join(groups.select(F.col("node").alias("leader"), F.col("component").alias("c_leader")), "leader", "left")
         now = now.withColumn("stray", F.col("c") != F.coalesce("c_leader", "leader"))
         mixed = now.filter("stray").select("key").distinct()
-        now = now.join(mixed, "key", "left_semi").select("key", "doc_id", "c", "stray")
-        now = now.join(sketches.select("doc_id", F.col("n_shingles").alias("n"), F.col("bits").alias("m")), "doc_id")
+        now = now.join(mixed, "key", "left_semi").select("key", "doc_id", "n", "c", "stray")
+        now = now.join(sketches.select("doc_id", F.col("bits").alias("m")), "doc_id")
         side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("c", "n", "m")]
         strays = now.filter("stray").select("key", F.col("doc_id").alias("a"), *side("a"))
         others = now.select(F.col("key").alias("bucket"), F.col("doc_id").alias("b"), "stray", *side("b"))
@@ -256,7 +257,7 @@ def _components(docs: DataFrame, base: DataFrame, links: DataFrame, width: int,
     pairs = members.filter("leader <> doc_id").groupBy(F.col("doc_id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
     links = links.unionByName(confirmed(pairs))
     groups = components(links)
-    for find in (lambda g: led(g, range(3)), lambda g: led(g, range(3, 9)), across):
+    for find in (lambda g: led(g, range(3)), lambda g: led(g, range(3, 6)), across):
         pairs = stored(find(groups), "near-pairs")
         new = pairs if pairs.isEmpty() else confirmed(pairs)
         if not new.isEmpty():
