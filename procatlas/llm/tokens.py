@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 
@@ -19,6 +20,7 @@ _CHUNK = re.compile(rf"[ \n]*(?:[{_SIMPLE}0-9]+(?=[.,;:!?](?:[ \n]|\Z))|[^ \n]+)
 _MARKS = tuple(".,;:!?")
 _WORD_CHARS = re.compile(rf"[{_SIMPLE}0-9]+")
 _ONE_WORD = re.compile(rf" ?[{_SIMPLE}]+")
+_FORMATS = [f"<{n}I" for n in range(33)]
 _OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 
 
@@ -27,10 +29,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _byte_letters() -> dict[int, int]:
-    """How byte-level vocabularies write bytes that have no visible character of their own: by letters from 256 on, in order."""
+def _byte_letters() -> str:
+    """How byte-level vocabularies write each byte: those that have no visible character by letters from 256 on, in order."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in visible)}
+    letters = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in visible)}
+    return "".join(chr(letters.get(byte, byte)) for byte in range(256))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(_FORMATS[len(ids)] if len(ids) < len(_FORMATS) else f"<{len(ids)}I", *ids)
 
 
 class _Chunks(dict):
@@ -54,11 +61,13 @@ class _Chunks(dict):
 class _Spaced(_Chunks):
     """Ids of what stands between two blanks, with the blank before it; a word shares its ids with the word and its mark."""
 
-    def __init__(self, chunks: _Chunks, limit: int):
-        super().__init__(None, limit)
+    def __init__(self, chunks: _Chunks, word, limit: int):
+        super().__init__(word, limit)
         self.chunks = chunks
 
     def __missing__(self, piece: str) -> bytes:
+        if _ONE_WORD.fullmatch(piece):
+            return self.kept(piece, self.encode(" " + piece))
         if "\n" in piece:
             return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(" " + piece)))
         if piece[-1:] in _MARKS and _WORD_CHARS.fullmatch(piece, 0, len(piece) - 1):
@@ -74,26 +83,22 @@ class Encoder:
     token, is encoded whole. All give the ids of the whole text.
     """
 
-    def __init__(self, vocabulary: str, memo: int = 800_000):
+    def __init__(self, vocabulary: str, memo: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters, self.words = _byte_letters(), self.tokenizer.model.tokenize
-        self.blank = chr(self.letters[32])
         sample = " Größe"
         self.plain = self.tokenizer.normalizer is None and self._word(sample) == self._whole(sample)
-        self.chunks = _Chunks(self._chunk, memo // 4)
-        self.spaced = _Spaced(self.chunks, memo)
+        self.chunks = _Chunks(self._chunk, memo // 8)
+        self.spaced = _Spaced(self.chunks, self._word if self.plain else self._whole, memo)
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        letters = word.replace(" ", self.blank) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.words(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed([t.id for t in self.words(codecs.charmap_decode(word.encode(), "strict", self.letters)[0])])
 
     def _chunk(self, chunk: str) -> bytes:
         return self._word(chunk) if self.plain and _ONE_WORD.fullmatch(chunk) else self._whole(chunk)
