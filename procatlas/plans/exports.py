@@ -12,7 +12,7 @@ from procatlas.operators.engine import RESOLVED, diff_findings, resolve_names, r
 from procatlas.operators.maintenance import mnt_002
 from procatlas.operators.security import sec_001, sec_003, sec_004
 from procatlas.plans.registry import query
-from procatlas.plans.rendered import K, VALUES, bot_estate, order_releases, xml_estate
+from procatlas.plans.rendered import K, VALUES, bot_estate, concatenated_estate, order_releases, xml_estate
 from procatlas.plans.standin import estate, table, with_cte
 from procatlas.session import cut, shared_dir
 from procatlas.sources import files, manifests, releases, reports
@@ -47,6 +47,29 @@ def scan_releases(spark, sf):
     return xml_estate(spark, sf).releases.select("release_id", "file", "package_name", "bp_version", "export_date")
 
 
+@query("scan_split_release", f"""
+WITH r AS (SELECT {K} AS k, concat('Package ', substr(o_orderpriority, 1, 1)) AS package_name, '6.8' AS bp_version, CAST(CAST(o_orderdate AS date) AS string) AS export_date, CAST(o_orderkey AS BIGINT) AS n FROM orders)
+SELECT package_name, bp_version, export_date, concat('P', k) AS owner_id, 'process' AS owner_type, concat('Order ', k) AS name, '/bpr:release/bpr:contents/process[1]/process' AS source_ref,
+  CASE WHEN n % 5 = 0 THEN 3 ELSE 2 END AS pages, 27 AS stages FROM r
+UNION ALL SELECT package_name, bp_version, export_date, concat('O', k), 'object', concat('Order Object ', k), '/bpr:release/bpr:contents/object[1]/process', 1, 7 FROM r""")
+def scan_split_release(spark, sf):
+    """A few files of very many releases, read by component."""
+    e = concatenated_estate(spark, sf)
+    many = lambda t, name: t.groupBy("owner_id").agg(F.count("*").cast("int").alias(name))
+    owners = e.owners.select("release_id", "owner_id", "owner_type", "name", "source_ref").join(many(e.pages, "pages"), "owner_id").join(many(e.stages, "stages"), "owner_id")
+    return e.releases.select("release_id", "package_name", "bp_version", "export_date").join(owners, "release_id").drop("release_id")
+
+
+@query("scan_split_queues", f"""
+SELECT concat('P', {K}) AS owner_id, concat('Orders ', substr(o_orderpriority, 1, 1)) AS queue, CASE o_orderkey % 3 WHEN 1 THEN true WHEN 2 THEN false END AS encrypted, CAST(o_custkey % 90 AS string) AS upper_limit FROM orders""")
+def scan_split_queues(spark, sf):
+    """What a release says beside its components, from the heads of the same files."""
+    e = concatenated_estate(spark, sf)
+    limits = e.env_vars.where("name = 'Limit'").select("release_id", F.col("value").alias("upper_limit"))
+    queues = e.work_queues.select("release_id", F.col("name").alias("queue"), "encrypted")
+    return e.owners.where("owner_type = 'process'").select("release_id", "owner_id").join(queues, "release_id").join(limits, "release_id").drop("release_id")
+
+
 @query("split_components", f"""
 SELECT {X} AS release_id, 'process' AS owner_type, concat('Order ', {K}) AS wrapper_name, '/bpr:release/bpr:contents/process[1]/process' AS base_path, CAST(27 AS INT) AS stages FROM orders
 UNION ALL SELECT {X}, 'object', concat('Order Object ', {K}), '/bpr:release/bpr:contents/object[1]/process', 7 FROM orders""")

@@ -165,3 +165,15 @@ def bot_estate(spark: SparkSession, sf_dir: str) -> Estate:
     from procatlas.sources.bots import normalize
 
     return _once(spark, sf_dir, "bots", lambda: normalize(order_bots(spark, sf_dir)))
+
+
+def concatenated_estate(spark: SparkSession, sf_dir: str, files: int = 4) -> Estate:
+    """The tables of the rendered releases written one after the other into a few files and read back by component."""
+    from procatlas.sources.split_scan import normalize_path
+
+    def build() -> Estate:
+        folder = f"{shared_dir(spark).rstrip('/')}/concatenated-{uuid.uuid4().hex}"
+        order_releases(spark, sf_dir).select("content").coalesce(files).write.text(folder)
+        return normalize_path(spark, folder)
+
+    return _once(spark, sf_dir, "concatenated", build)

@@ -7,7 +7,7 @@ look-ups happen inside a component's row, and positions come from the arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procatlas.functions.text import source_hash
@@ -121,20 +121,24 @@ def _wrapped(items: Column, kind: str) -> Column:
     )
 
 
-def _parts() -> Column:
-    """The processes and objects of a parsed file, in order."""
-    ok_rel, ok_bare = F.col("rel._corrupt_record").isNull(), F.col("bare._corrupt_record").isNull()
-    contents = F.col("rel.`bpr:contents`")
+def bare_part() -> Column:
+    """The process of a parsed file that is nothing but one."""
     names = ("_name", "_version", "_bpversion", "_narrative", "_preferredid", "subsheet", "stage", "appdef")
-    bare = F.struct(
+    return F.struct(
         F.lit("process").alias("owner_type"), F.lit(0).alias("owner_rank"), F.lit(0).alias("owner_pos"),
         F.coalesce(_some(F.col("bare._preferredid")), F.concat(F.lit("process-"), F.coalesce(_some(F.col("bare._name")), F.lit("1")))).alias("wrapper_id"),
         _s("bare._name").alias("wrapper_name"), F.lit("/process").alias("base_path"),
         F.struct(*[F.col(f"bare.{n}").alias(n) for n in names]).alias("def"),
     )
+
+
+def _parts() -> Column:
+    """The processes and objects of a parsed file, in order."""
+    ok_rel, ok_bare = F.col("rel._corrupt_record").isNull(), F.col("bare._corrupt_record").isNull()
+    contents = F.col("rel.`bpr:contents`")
     return F.when(
         F.col("rel").isNotNull() & ok_rel, F.concat(_wrapped(contents["process"], "process"), _wrapped(contents["object"], "object"))
-    ).when(F.col("bare").isNotNull() & ok_bare, F.array(bare))
+    ).when(F.col("bare").isNotNull() & ok_bare, F.array(bare_part()))
 
 
 def split_components(parsed: DataFrame) -> DataFrame:
@@ -408,7 +412,11 @@ def normalize(files: DataFrame) -> Estate:
     the columns they need from there.
     """
     heads = written(_heads(parse(files)), "parsed")
-    rows = heads.select("release_id", F.explode("parts").alias("c")).select("release_id", "c.*")
+    return estate_of(files.sparkSession, heads, heads.select("release_id", F.explode("parts").alias("c")).select("release_id", "c.*"))
+
+
+def estate_of(spark: SparkSession, heads: DataFrame, rows: DataFrame) -> Estate:
+    """All tables, from what the exports say about themselves and their components."""
     comp = with_pages(rows)
     defined = comp.where("def is not null")
     located = _located(defined)
@@ -421,7 +429,7 @@ def normalize(files: DataFrame) -> Estate:
         "release_id", F.col("wrapper_id").alias("owner_id"), "owner_type", F.posexplode("pages").alias("page_index", "p")
     ).select("release_id", "owner_id", "owner_type", F.col("p.page_id").alias("page_id"), F.col("p.name").alias("name"), "page_index", F.col("p.source_ref").alias("source_ref"))
     return Estate.of(
-        files.sparkSession,
+        spark,
         releases=heads.select("release_id", "file", _s("package_name").alias("package_name"), "bp_version", _some(F.col("created")).alias("export_date"), "source_hash", "size_bytes"),
         owners=owners, pages=pages, stages=stages_of(located), edges=edges_of(located), data_items=data_items_of(located),
         params=params_of(defined), elements=elements, work_queues=queues_of(heads), env_vars=variables,
