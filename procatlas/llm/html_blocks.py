@@ -44,7 +44,8 @@ BOILERPLATE = (
     ("div", "legal"), ("div", "disclaimer"), ("select", ""), ("button", ""), ("textarea", ""),
 )
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# A quote opens a value only behind an equals sign; every part takes what it can and gives nothing back, so a page is read once.
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>=]++|=)*+)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:\s|^)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"\w+")
@@ -114,6 +115,9 @@ def leaves(page: str | None) -> list[Leaf]:
         at = found.end()
         if found.group(2) is None:
             continue
+        if page[at - 1] != ">":  # a tag that never ends is text
+            held.append(found.group())
+            break
         tag, closing = found.group(2).lower(), bool(found.group(1))
         if tag == "a":
             anchors = max(0, anchors - 1) if closing else anchors + 1

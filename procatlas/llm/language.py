@@ -8,7 +8,6 @@ evidence from the whole text counts.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -19,15 +18,17 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
 class Model:
     """Raw-content dictionaries by language, the most frequent language first.
 
-    A text of at least ``min_bytes`` is rejected when the smallest total saves less than ``min_margin`` of the next. A
-    shorter text often leaves the same bytes with every dictionary, which says nothing against it, so it is kept.
+    A text is rejected when the smallest total saves less of the next than ``min_margin``, or less than one byte for every
+    ``bytes_a_step`` of the text where that is less. So a few words may leave the same bytes with every dictionary.
     """
 
     languages: tuple[str, ...]
@@ -35,7 +36,7 @@ class Model:
     level: int = 6
     block: int = 2048
     min_margin: float = 0.01
-    min_bytes: int = 256
+    bytes_a_step: int = 64
 
     def sizes(self, texts) -> list[list[int]]:
         """Compressed bytes of each text by language."""
@@ -49,15 +50,17 @@ class Model:
 
     def judge(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected) of one text."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, 0.0, True
         sizes = self.sizes([text])[0]
         best = min(range(len(sizes)), key=lambda i: sizes[i])
         others = sizes[:best] + sizes[best + 1 :]
         if not others:
             return self.languages[best], 1.0, 1.0, False
-        margin = (min(others) - sizes[best]) / min(others)
-        return self.languages[best], 0.5 + 0.5 * min(1.0, 10 * margin), margin, margin < self.min_margin and len(text.encode()) >= self.min_bytes
+        saved = min(others) - sizes[best]
+        margin = saved / min(others)
+        narrow = saved < min(self.min_margin * min(others), len(text.encode()) // self.bytes_a_step)
+        return self.languages[best], 0.5 + 0.5 * min(1.0, 10 * margin), margin, narrow
 
 
 def _compressors(model: Model) -> list:
@@ -77,18 +80,20 @@ def _compressors(model: Model) -> list:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 150, piece: int = 1024,
-        max_languages: int = 64, **settings) -> Model:
+        pieces: int = 9600, least: int = 10, **settings) -> Model:
     """Dictionaries from a bounded sample of labelled rows.
 
-    From each of the ``max_languages`` most frequent languages the ``per_language`` rows with the smallest hashes give one
-    piece of ``piece`` characters each, from a hashed place of the text. Pieces that dictionaries made of them assign to
+    From every language the ``per_language`` rows with the smallest hashes give one piece of ``piece`` characters each, from a
+    hashed place of the text; where there are so many languages that this passes ``pieces`` in all, fewer rows of each do, but
+    ``least``. Pieces that dictionaries made of them assign to
     another language are then left out, which removes wrong labels. Rows with a null language or text teach nothing.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(text)) > 0))
-    names = [r[0] for r in rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    names = [r[0] for r in rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()]
+    per_language = min(per_language, max(least, pieces // max(len(names), 1)))
     draw = F.xxhash64(F.lit("language"), F.col(doc_id), F.length(text))
     start = F.pmod(F.shiftright(draw, 7), F.greatest(F.length(text) - piece + 1, F.lit(1))).cast("int") + 1
-    drawn = rows.select(F.col(lang).alias("lang"), draw.alias("draw"), F.substr(F.col(text), start, F.lit(piece)).alias("piece")).filter(F.col("lang").isin(names))
+    drawn = rows.select(F.col(lang).alias("lang"), draw.alias("draw"), F.substr(F.col(text), start, F.lit(piece)).alias("piece"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "piece"))
     sample = drawn.withColumn("rank", rank).filter(F.col("rank") <= per_language).orderBy("lang", "rank").collect()
 

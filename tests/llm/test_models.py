@@ -1,6 +1,7 @@
 """Language, toxicity and main text: held-out accuracy, odd rows and hand-made cases."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -46,6 +47,26 @@ def test_language_rejects_narrow_margins_of_long_texts_only(language_model):
     assert strict.judge(mixed)[3] and not strict.judge(clean)[3] and not strict.judge(mixed[:200])[3]
 
 
+def test_letters_and_short_junk(language_model):
+    for numerals in ("\u00bd \u00b2", "\u2167 \u2460 12", "1 _ 2"):
+        assert language_model.judge(numerals)[0] == language.UNKNOWN
+    rng = random.Random(5)
+    junk = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(100)) for _ in range(50)]
+    assert sum(language_model.judge(text)[3] for text in junk) >= 48
+    assert not language_model.judge("the")[3]
+
+
+def test_many_languages(spark):
+    """Every language has its dictionary, however many there are."""
+    rng = random.Random(6)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(80)}
+    text = lambda name: " ".join(rng.choice(words[name]) for _ in range(60))
+    data = [(1000 * i + j, text(name), name, "a") for i, name in enumerate(words) for j in range(6)]
+    model = language.fit(cases.frame(spark, data), pieces=100, least=4)
+    assert len(model.languages) == 80
+    assert all(model.judge(text(name))[0] == name for name in words)
+
+
 def test_language_without_labels(spark):
     model = language.fit(cases.frame(spark, [(1, "a", None, "a")]))
     assert model.judge("a text") == ("und", 0.0, 0.0, True)
@@ -142,6 +163,21 @@ def test_blocks_of_markup():
     assert len(html_blocks.leaves("<div>" * 3000 + "deep")) == 1
 
 
+def test_stray_quotes():
+    """A quote opens a value behind an equals sign only; elsewhere it is a character of the tag."""
+    texts = lambda page: [leaf.text for leaf in html_blocks.leaves(page)]
+    assert texts("<article><p data=it's>Hello world. It's fine <b>x</b></p><p>Second</p>") == ["Hello world. It's fine x", "Second"]
+    assert texts("<p title=5'>Alpha beta</p><p>gamma</p><p>it's</p>") == ["Alpha beta", "gamma", "it's"]
+    assert texts("""<p title = "a > b" class='c > d'>one</p><p "x">two</p>""") == ["one", "two"]
+
+
+@pytest.mark.parametrize("page", ["<p a=' ", "<p a=\"", "<p a='x\" ", "<p <p", "<svg ", "<!-- ", "<p a= =", "<p =' >'"])
+def test_long_broken_pages_are_read_once(page):
+    start = time.process_time()
+    html_blocks.leaves(page * (1_000_000 // len(page)))
+    assert time.process_time() - start < 4
+
+
 def test_blocks_beside_drawings_and_formulas():
     texts = lambda page: [b.text for b in html_blocks.leaves(page)]
     assert texts("<p>a</p><svg viewBox='0'/><p>b</p><svg><text>no</text></svg><p>c</p>") == ["a", "b", "c"]
