@@ -8,7 +8,9 @@ from procatlas.functions import text as t
 from procatlas.model import located_owner
 from procatlas.operators import compliance, engine, maintenance, reliability, security, similarity
 from procatlas.operators.engine import RuleConfig, define_rule, run_rules
+from procatlas.operators.rules import ALL_RULES
 from procatlas.plans.registry import query
+from procatlas.plans.rendered import xml_estate
 from procatlas.plans.standin import estate, table, with_cte
 
 STRONG = "length({0}) >= 8 AND regexp_matches({0}, '[A-Za-z]') AND regexp_matches({0}, '[^A-Za-z\\s]')"
@@ -260,6 +262,28 @@ def run_rules_query(spark, sf):
     return findings.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
+_ALL = (  # rule, severity, owner's letter, page's letter, stage, element, the orders whose release has it
+    ("CMP-001", "high", "P", "w", "add", None, "substr(o_orderpriority, 1, 1) = '1' AND k % 3 <> 1"), ("CMP-002", "info", "P", None, None, None, "o_orderstatus = 'P'"),
+    ("MNT-001", "medium", "P", "m", "throw", None, "k % 10 = 0"), ("MNT-001", "medium", "P", "w", "throw", None, "k % 10 <> 0"), ("MNT-001", "medium", "P", "s", None, None, "k % 5 = 0"),
+    ("MNT-001", "medium", "P", "w", None, None, "k % 11 = 0"), ("MNT-001", "medium", "P", "w", "rec", None, "k % 3 = 1"), ("MNT-001", "medium", "P", "w", "res", None, "k % 3 = 1"),
+    ("MNT-002", "low", "P", "m", "d4", None, "true"), ("REL-001", "high", "P", None, None, None, "k % 3 = 1"), ("REL-003", "medium", "O", "a", "wait", None, "k % 3 <> 2"),
+    ("REL-004", "medium", "O", None, None, "e1", "k % 6 = 1"), ("SEC-001", "critical", "P", "m", "d1", None, "k % 3 = 0"), ("SEC-001", "critical", "P", "w", "call", None, "k % 10 = 3"),
+    ("SEC-002", "high", "P", None, None, None, "k % 2 = 1"), ("SEC-003", "high", "P", "m", "note", None, "k % 6 = 0 AND k % 9 <> 0"), ("SEC-003", "high", "P", "w", "say", None, "k % 8 = 0"),
+    ("SEC-004", "medium", "P", "m", "d4", None, "k % 4 = 0"),
+)
+_text = lambda x: "CAST(NULL AS string)" if x is None else f"'{x}'"
+
+
+@query("run_all_rules", "WITH o AS (SELECT *, o_orderkey AS k FROM orders) " + " UNION ALL ".join(
+    f"SELECT concat('X', CAST(k AS string)) AS release_id, '{rule}' AS rule_id, '{severity}' AS severity, concat('{owner}', CAST(k AS string)) AS owner_id, "
+    f"{'CAST(NULL AS string)' if page is None else f"concat('{page}', CAST(k AS string))"} AS page_id, {_text(stage)} AS stage_id, {_text(element)} AS element_id FROM o WHERE {when}"
+    for rule, severity, owner, page, stage, element, when in _ALL))
+def run_all_rules(spark, sf):
+    """All fourteen rules, as they come, in one run over the rendered releases."""
+    findings, _ = run_rules(xml_estate(spark, sf), ALL_RULES)
+    return findings.select("release_id", "rule_id", "severity", located_owner().alias("owner_id"), "location.page_id", "location.stage_id", "location.element_id")
+
+
 @define_rule("ZZZ-998", "Late failure", "low", "reliability", "Fails while it runs, on the first owner.")
 def late_rule(e, meta):
     return engine.make_finding(meta, e.owners, F.raise_error(F.concat(F.lit("no sense in "), "owner_id")), "None.", 0.5)
