@@ -1,8 +1,8 @@
 """Association-rule filtering of URLs; DataFrame functions only.
 
 A URL becomes a set of tokens: its host's words, path segments with digits blotted out, query keys, fragment and scheme.
-Token combinations of labelled URLs are mined round by round;
-the rules whose consequence is a label and whose support and confidence are high enough are kept. For matching, a rule is filed under the rarest token of its
+Spark's FP-growth mines the token combinations of labelled URLs with
+the label as one more item; rules whose consequence is a label and whose support and confidence are high enough are kept. For matching, a rule is filed under the rarest token of its
 antecedent: a token set looks its tokens up in this inverted index and keeps the rules whose antecedent it contains.
 URLs with the same tokens are looked up once.
 """
@@ -64,11 +64,34 @@ def url_tokens(url: Column) -> Column:
     return F.coalesce(F.array_sort(F.array_distinct(F.when(host != "", tokens))), F.array().cast("array<string>"))
 
 
-def _pairs(sets: Column) -> Column:
-    """The sets of one token more that two of the given sorted sets make, where they differ in the last token alone."""
-    head = lambda a: F.slice(a, 1, F.size(a) - 1)
-    later = lambda a, i: F.filter(F.slice(sets, i + 2, F.size(sets)), lambda b: head(a) == head(b))
-    return F.flatten(F.transform(sets, lambda a, i: F.transform(later(a, i), lambda b: F.concat(a, F.slice(b, -1, 1)))))
+_LABEL = "label="  #: begins the item of a row's label; URL tokens begin otherwise
+
+
+def _classes(sets: DataFrame, least: int, most: float) -> DataFrame:
+    """``rep, members, freq``: tokens that occur in the same rows, under the first of them, with the number of rows.
+
+    Which rows a token is in is told by how many distinct token sets hold it and two 64-bit sums over them.
+    """
+    marks = [F.xxhash64(F.lit(seed), "tokens").alias(f"h{seed}") for seed in (1, 2)]
+    each = sets.select("tokens", "n", *marks).select("h1", "h2", "n", F.explode("tokens").alias("token"))
+    tokens = each.groupBy("token").agg(F.count("*").alias("k"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2"), F.sum("n").alias("freq")).filter((F.col("freq") >= least) & (F.col("freq") <= most))
+    return tokens.groupBy("k", "x1", "x2", "freq").agg(F.min("token").alias("rep"), F.sort_array(F.collect_list("token")).alias("members")).select("rep", "members", "freq")
+
+
+def _frequent(sets: DataFrame, classes: DataFrame, labels: list, least: int, many: int) -> DataFrame:
+    """``c, total, n``: the combinations of tokens, in how many rows, and of each label in how many, where these are frequent."""
+    from pyspark.ml.fpm import FPGrowth
+
+    known = sets.select("id", F.explode("tokens").alias("rep")).join(classes.select("rep"), "rep").groupBy("id").agg(F.collect_list("rep").alias("reps"))
+    number = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
+    rows = sets.join(known, "id").select(F.concat("reps", F.array(F.concat(F.lit(_LABEL), number))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("row"))
+    # Half a row less than the least keeps rounding from asking for one more.
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / many).fit(stored(rows.select("items"), "url-items"))
+    is_label = lambda x: F.startswith(x, F.lit(_LABEL))
+    found = model.freqItemsets.select(F.array_sort(F.filter("items", lambda x: ~is_label(x))).alias("c"), F.get(F.filter("items", is_label), F.lit(0)).alias("of"), "freq")
+    counts = [F.coalesce(F.max(F.when(F.col("of") == f"{_LABEL}{i}", F.col("freq"))), F.lit(0)) for i in range(len(labels))]
+    grouped = found.filter(F.size("c") > 0).groupBy("c").agg(F.max(F.when(F.col("of").isNull(), F.col("freq"))).alias("total"), F.array(*counts).alias("n"))
+    return stored(grouped, "url-frequent")
 
 
 def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_support: float = 0.0, min_rows: int = 5, min_confidence: float = 0.6,
@@ -86,66 +109,60 @@ def mine(labelled: DataFrame, url: str = "url", label: str = "label", min_suppor
     an ``everywhere`` under 1 leaves out those of a greater part of the rows. A rule is dropped when a shorter one, part of it, has the
     same label and at least its confidence. Without labelled rows there are no rules.
 
-    Equal token sets are counted once. Combinations grow by one token a round. One that is in the same rows as a part of
-    it says what the part says, as does all that contains it, and one with a single label cannot be bettered, so neither grows.
+    Spark's FP-growth finds the combinations of tokens and label in ``min_rows`` rows. Tokens that are in the same rows go
+    in as one, so repeated long URLs do not make every subset of theirs a combination; a rule is then written out for each of them.
     """
     spark = labelled.sparkSession
     rows = labelled.filter(F.col(label).isNotNull()).select(url_tokens(F.col(url)).alias("tokens"), F.col(label).alias("label"))
-    sets = stored(rows.groupBy("tokens", "label").agg(F.count("*").alias("n")), "url-sets")
+    sets = stored(rows.groupBy("tokens", "label").agg(F.count("*").alias("n")).withColumn("id", F.md5(F.concat_ws("\n", "label", "tokens"))), "url-sets")
     each = {r[0]: r[1] for r in sets.groupBy("label").agg(F.sum("n")).orderBy("label").collect()}
     many = sum(each.values())
     if not many:
         return spark.createDataFrame([], "antecedent array<string>, label string, confidence double, support double, rare string, lift double")
-    bases = [n / many for n in each.values()]
     labels, least = list(each), max(1, min_rows, math.ceil(min_support * many))
-    counts = lambda n: F.array(*[F.sum(n(i)) for i in range(len(labels))])
-    total = F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y)
+    whole = sets.groupBy("tokens").agg(F.sum("n").alias("n"))
+    classes = stored(_classes(whole, least, everywhere * many), "url-classes")
+    frequent = _frequent(sets, classes, labels, least, many)
 
-    def lifted(sure: Column, base: float) -> Column:
+    def lifted(sure: Column, base: Column) -> Column:
         if min_lift is None:
             return F.lit(False)
         n, zz = F.col("total"), CHANCE * CHANCE
         lower = (sure + zz / (2 * n) - CHANCE * F.sqrt(sure * (1 - sure) / n + zz / (4 * n * n))) / (1 + zz / n)
         return (sure >= min_lift * base) & (lower > base)
 
-    def judged(found: DataFrame) -> DataFrame:
-        """What a round leaves: ``c`` with its counts, and for each label whether it is a rule and the best confidence up to it."""
-        sure = [F.col("n")[i] / F.col("total") for i in range(len(labels))]
-        held = [(F.col("n")[i] >= least) & ((sure[i] >= min_confidence) | lifted(sure[i], bases[i])) for i in range(len(labels))]
-        found = found.withColumn("rules", F.array(*[held[i] & (sure[i] > F.col("best")[i]) for i in range(len(labels))]))
-        return found.withColumn("best", F.array(*[F.greatest(F.col("best")[i], F.when(held[i], sure[i]).otherwise(-1.0)) for i in range(len(labels))]))
-
-    sets = sets.groupBy("tokens").agg(counts(lambda i: F.when(F.col("label") == labels[i], F.col("n")).otherwise(0)).alias("n")).withColumn("id", F.md5(F.concat_ws("\n", "tokens")))
-    pieces = sets.select("id", "n", F.explode("tokens").alias("token")).select("id", "n", F.array("token").alias("c"))
-    rounds: list[DataFrame] = []
-    while True:
-        found = pieces.groupBy("c").agg(counts(lambda i: F.col("n")[i]).alias("n")).filter(F.array_max("n") >= least).withColumn("total", total)
-        if not rounds:
-            # a token in all rows says what no token says, so it is a rule at most and does not grow
-            found = found.filter(F.col("total") <= everywhere * many).withColumn("best", F.array(*[F.lit(-1.0)] * len(labels)))
-            found = found.withColumn("rare", F.struct(F.col("total").alias("freq"), F.col("c")[0].alias("token")))
+    shown = F.array(*[F.struct(F.lit(name).alias("label"), F.lit(count / many).alias("base"), F.lit(i).alias("i")) for i, (name, count) in enumerate(each.items())])
+    told = frequent.select("c", "total", "n", F.explode(shown).alias("of")).withColumn("own", F.col("n")[F.col("of.i")]).withColumn("sure", F.col("own") / F.col("total"))
+    told = told.withColumn("held", (F.col("own") >= least) & ((F.col("sure") >= min_confidence) | lifted(F.col("sure"), F.col("of.base"))))
+    told = stored(told.select("c", "total", "own", "sure", "held", "of.*"), "url-told")
+    # From one size to the next, the most confident rule among the parts; a rule must be surer than that.
+    longest = told.agg(F.max(F.size("c"))).first()[0] or 0
+    kept: list[DataFrame] = []
+    before = None
+    for size in range(1, longest + 1):
+        now = told.filter(F.size("c") == size)
+        if before is None:
+            now = now.withColumn("best", F.lit(-1.0))
         else:
-            parts = found.select("c", "n", "total", F.explode(F.transform("c", lambda t: F.array_except("c", F.array(t)))).alias("part"))
-            before = rounds[-1].filter("grows").select(F.col("c").alias("part"), F.col("total").alias("above"), F.col("best").alias("part_best"), F.col("rare").alias("part_rare"))
-            best = F.array(*[F.max(F.col("part_best")[i]) for i in range(len(labels))])
-            found = parts.join(before, "part").groupBy("c", "n", "total").agg(F.count("*").alias("k"), F.min("above").alias("above"), best.alias("best"), F.min("part_rare").alias("rare"))
-            found = found.filter((F.col("k") == F.size("c")) & (F.col("total") < F.col("above"))).drop("k", "above")
-        found = judged(found).withColumn("grows", (F.array_max("n") < F.col("total")) & (F.col("total") < many))
-        rounds.append(stored(found, "url-round"))
-        # row by row the combinations that grow, and of each two the one that holds both
-        held = pieces.join(rounds[-1].filter("grows").select("c"), "c").groupBy("id").agg(F.any_value("n").alias("n"), F.array_sort(F.collect_list("c")).alias("held"))
-        pieces = stored(held.select("id", "n", F.explode(_pairs(F.col("held"))).alias("c")), "url-pieces")
-        if pieces.isEmpty():
-            break
-    rules = reduce(DataFrame.unionByName, rounds).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(labels) - 1)))).filter(F.col("rules")[F.col("i")])
-    own, base = F.col("n")[F.col("i")], F.array(*[F.lit(b) for b in bases])[F.col("i")]
+            parts = now.select("c", "i", F.explode(F.transform("c", lambda t: F.array_except("c", F.array(t)))).alias("part"))
+            best = parts.join(before, ["part", "i"]).groupBy("c", "i").agg(F.max("best").alias("best"))
+            now = now.join(best, ["c", "i"])
+        now = stored(now, "url-level")
+        kept.append(now.filter(F.col("held") & (F.col("sure") > F.col("best"))))
+        before = now.select(F.col("c").alias("part"), "i", F.when(F.col("held"), F.greatest("best", "sure")).otherwise(F.col("best")).alias("best"))
+    if not kept:
+        return spark.createDataFrame([], "antecedent array<string>, label string, confidence double, support double, rare string, lift double")
+    rules = reduce(DataFrame.unionByName, kept).withColumn("id", F.md5(F.concat_ws("\n", "label", "c")))
+    alike = rules.select("id", F.explode("c").alias("rep")).join(classes, "rep").groupBy("id").agg(F.collect_list("members").alias("members"), F.collect_list(F.struct("freq", "members")).alias("freqs"))
+    one = lambda made, group: F.flatten(F.transform(made, lambda c: F.transform(group, lambda token: F.concat(c, F.array(token)))))
+    each_one = F.aggregate("members", F.array(F.array().cast("array<string>")), one)
+    written_out = rules.join(alike, "id").withColumn("antecedent", F.explode(each_one)).withColumn("antecedent", F.array_sort("antecedent"))
+    freq_of = lambda token: F.filter("freqs", lambda f: F.array_contains(f["members"], token))[0]["freq"]
+    rare = F.array_min(F.transform("antecedent", lambda token: F.struct(freq_of(token).alias("freq"), token.alias("token"))))["token"]
     return stored(
-        rules.select(
-            F.col("c").alias("antecedent"), F.array(*[F.lit(x) for x in labels])[F.col("i")].alias("label"), (own / F.col("total")).alias("confidence"),
-            (own / F.lit(many)).alias("support"), F.col("rare.token").alias("rare"), (own / F.col("total") / base).alias("lift"),
-        ),
+        written_out.select("antecedent", "label", F.col("sure").alias("confidence"), (F.col("own") / many).alias("support"), rare.alias("rare"), (F.col("sure") / F.col("base")).alias("lift")),
         "url-rules",
-    )
+    )
 
 
 def match(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = ALLOW, by: str = "confidence") -> DataFrame:

@@ -103,6 +103,18 @@ def test_rules_on_tokens_of_nearly_all_urls(spark):
     assert got == pytest.approx(wanted)
 
 
+def test_rules_of_long_urls(spark):
+    """Six copies of URLs of 60 tokens: tokens in the same rows go in as one, and each gives a rule of its own."""
+    long = ["http://deep.net/" + "/".join(f"d{chr(97 + k // 8)}{chr(97 + k % 8)}" for k in range(60))] * 6
+    other = [f"http://h{i % 7}.net/x" for i in range(60)]
+    table = spark.createDataFrame([(u, "block") for u in long] + [(u, "allow") for u in other], "url string, label string")
+    got = {(tuple(r["antecedent"]), r["label"]): (r["confidence"], r["support"], r["lift"]) for r in url_rules.mine(table).collect()}
+    alone = [k for k in got if k[1] == "block"]
+    assert len(alone) == 61 and all(len(a) == 1 and got[a, la] == (1.0, pytest.approx(6 / 66), pytest.approx(11.0)) for a, la in alone)
+    judged = url_rules.match(spark.createDataFrame([("http://q.org/dba",), ("http://q.org/z",)], "url string"), url_rules.mine(table)).collect()
+    assert {r["row"]["url"]: r["verdict"] for r in judged} == {"http://q.org/dba": "block", "http://q.org/z": "allow"}
+
+
 def test_url_labels_come_from_the_labels_alone(spark, tmp_path):
     """A host is blocked for its labels at a lift over the block base rate, whatever its words are."""
     hosts = [(f"h{i % 30}.net", 0 if i // 30 % 15 == 0 else 1) for i in range(900)] + [("zorp.net", 0 if i % 5 < 2 else 1) for i in range(80)] + [("casino-win.net", 1)] * 20
