@@ -11,6 +11,7 @@ from procatlas.operators import conversion, score
 from procatlas.operators.engine import RESOLVED, diff_findings, resolve_names, run_rules
 from procatlas.operators.maintenance import mnt_002
 from procatlas.operators.security import sec_001, sec_003, sec_004
+from procatlas.plans.conversions import CONVERTED, OBJECT_PUNCH, PROCESS_PUNCH, RISKY
 from procatlas.plans.registry import query
 from procatlas.plans.rendered import K, VALUES, bot_estate, concatenated_estate, order_releases, xml_estate
 from procatlas.plans.standin import estate, table, with_cte
@@ -412,3 +413,40 @@ def build_sync_rows(spark, sf):
     return process.unionByName(finding).unionByName(edge).unionByName(violation)
 
 
+@query("audit_sections", f"""
+WITH o AS (SELECT *, o_orderkey AS k, o_orderstatus AS s, CAST(o_orderkey % 2 = 0 AS INT) AS c FROM orders)
+SELECT {P} AS owner_id, concat('Order ', {K}) AS name, 'process' AS role, CAST({SCORE} AS BIGINT) AS score, {GRADE} AS grade, CAST(27 AS BIGINT) AS stage_count,
+  CAST(floor(1000.0 * ({CONVERTED}) / 27 + 0.5) / 10 AS DOUBLE) AS coverage_pct, CAST({PROCESS_PUNCH} AS BIGINT) AS punch_count,
+  CAST(floor(((27 + 7 * c) * 3 + ({PROCESS_PUNCH} + c * ({OBJECT_PUNCH})) * 30 + 2 * c * 10 + c * ({RISKY}) * 20) / 6.0 + 0.5) / 10 AS DOUBLE) AS effort_hours,
+  CAST(1 + CAST(o_orderkey % 3 = 0 AS INT) + CAST(o_orderkey % 10 = 3 AS INT) AS BIGINT) AS finding_count FROM o
+UNION ALL SELECT {O}, concat('Order Object ', {K}), 'object', 100, 'A', 7, 100.0, CAST({OBJECT_PUNCH} AS BIGINT), NULL, 0 FROM o""")
+def audit_sections(spark, sf):
+    """Every column of a component's section."""
+    e, coverage, punch, effort = _analysis(spark, sf)
+    sections, _ = reports.audit_dataset(e, cut(run_rules(e, REPORT_RULES)[0]), coverage, punch, effort)
+    return sections.drop("release_id")
+
+
+@query("audit_findings", f"""
+SELECT {P} AS owner_id, 'SEC-001' AS rule_id, 'critical' AS severity, 0 AS severity_rank, concat('process/Order ', {K}, '/Main Page/Login Password') AS location_path FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT {P}, 'SEC-001', 'critical', 0, concat('process/Order ', {K}, '/Work/Enter order') FROM orders WHERE o_orderkey % 10 = 3
+UNION ALL SELECT {P}, 'MNT-002', 'low', 3, concat('process/Order ', {K}, '/Main Page/Spare Item') FROM orders""")
+def audit_findings(spark, sf):
+    """The second data set: a row per finding with its place."""
+    e, coverage, punch, effort = _analysis(spark, sf)
+    _, rows = reports.audit_dataset(e, cut(run_rules(e, REPORT_RULES)[0]), coverage, punch, effort)
+    return rows.select("owner_id", "rule_id", "severity", "severity_rank", "location_path")
+
+
+@query("migration_report_lines", f"""
+WITH o AS (SELECT *, o_orderkey AS k, o_orderstatus AS s, CAST(o_orderkey % 2 = 0 AS INT) AS c FROM orders),
+t AS (SELECT *, 27 + 7 * c AS stages, {PROCESS_PUNCH} + c * ({OBJECT_PUNCH}) AS punch, 2 * c AS selectors, c * ({RISKY}) AS risky, {CONVERTED} AS done FROM o)
+SELECT {P} AS owner_id, 0 AS section, concat('# Migration report: Order ', {K}) AS line FROM t
+UNION ALL SELECT {P}, 1, concat('| Order ', {K}, ' (process) | ', CAST(done AS string), '/27 | ', CAST(CAST(floor(1000.0 * done / 27 + 0.5) / 10 AS DOUBLE) AS string), '% |') FROM t
+UNION ALL SELECT {P}, 1, concat('| Order Object ', {K}, ' (object) | 7/7 | 100.0% |') FROM t WHERE c = 1
+UNION ALL SELECT {P}, 4, format('| Total | {{}} stages, {{}} manual items, {{}} selectors of which {{}} risky | {{:.1f}} h |', stages, punch, selectors, risky,
+  CAST(floor((stages * 3 + punch * 30 + selectors * 10 + risky * 20) / 6.0 + 0.5) / 10 AS DOUBLE)) FROM t""")
+def migration_report_lines(spark, sf):
+    """Title, coverage and effort word by word; manual work and selectors have queries of their own."""
+    lines = reports.migration_report(*_analysis(spark, sf))
+    return lines.where(F.col("section").isin(0, 1, 4)).select("owner_id", "section", "line")
