@@ -19,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procatlas.model import PAGE
+from procatlas.operators.chains import along, contract
 from procatlas.session import cut, written
 
 PAGE_CAP = 50_000
 ROUNDS_KEPT = 16
+PLAIN_ROUNDS = 8  # steps taken one by one before flows are contracted
+CORE_SHARE = 0.9  # a contraction that leaves more of the edges does not pay
 SEP = "\u0001"
 NULL = "\u0002"
 LAST = 2**31 - 1  # the place of a node without one
@@ -173,13 +176,22 @@ def reach_rounds(edges: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> Dat
     """Rows of ``keys + node`` that the seeds reach, seeds included.
 
     ``edges`` has some of the keys plus src and dst.  Each round joins only the
-    nodes found in the last round; a round is checkpointed before the next.
+    nodes found in the last round; a round is checkpointed before the next.  What
+    is still open after ``PLAIN_ROUNDS`` goes on over contracted flows, if these
+    are shorter, and step by step if not.
     """
     on = [k for k in keys if k in edges.columns]
-    steps = edges.select(*on, F.col("src").alias("node"), "dst").distinct()
+    steps = edges.select(*on, F.col("src").alias("node"), "dst").where("node <> dst").distinct()
     frontier = cut(seeds.select(*keys, "node").distinct())
     found = [frontier]
+    rounds = 0
     while not frontier.isEmpty():
+        if rounds == PLAIN_ROUNDS:
+            rest = _reach_contracted(steps.withColumnRenamed("node", "src"), frontier, list(keys), on)
+            if rest is not None:
+                found.append(rest)
+                return reduce(DataFrame.unionByName, found).distinct()
+        rounds += 1
         reached = reduce(DataFrame.unionByName, found)
         ahead = (
             frontier.join(steps, [*on, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
@@ -192,6 +204,23 @@ def reach_rounds(edges: DataFrame, seeds: DataFrame, keys: Sequence[str]) -> Dat
     return reduce(DataFrame.unionByName, found)
 
 
+def _reach_contracted(edges: DataFrame, seeds: DataFrame, keys: list[str], on: list[str]) -> DataFrame | None:
+    """What the seeds reach: the ends of their chains, then the core, then the chains on the way; None if the core is no smaller."""
+    open_groups = seeds.select(*on).distinct()
+    edges = cut(edges.join(open_groups, on, "left_semi") if on else edges)
+    short = contract(edges, on)
+    if short.core.count() > CORE_SHARE * edges.count():
+        return None
+    extra = [k for k in keys if k not in on]
+    at_ends = seeds.join(short.ends, [*on, "node"]).select(*keys, F.col("to").alias("node"))
+    in_core = short.branch.select(*on, F.col("src").alias("node")).distinct()
+    starts = seeds.unionByName(at_ends).join(in_core, [*on, "node"], "left_semi")
+    reached = reach_rounds(short.core, starts, keys)
+    heads = reached.join(short.branch.withColumnRenamed("src", "node"), [*on, "node"]).select(*keys, F.col("dst").alias("node"))
+    marks = cut(seeds.unionByName(reached).unionByName(heads).distinct())
+    return along(short, marks, extra).select(*keys, "node")
+
+
 def _on_page(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     a = nodes.select("g", F.col("node").alias("src"))
     b = nodes.select("g", F.col("node").alias("dst"))
@@ -213,11 +242,41 @@ def _reach_large(rows: DataFrame) -> DataFrame:
 
 
 def _cycles_large(rows: DataFrame) -> DataFrame:
-    """The same colouring as in a task, with joins; a vertex's first place and its id serve as its colour."""
+    """Components by contraction, then the first vertex by place and id of each as its head."""
     nodes, edges = _large_graph(rows)
-    nodes = nodes.groupBy("g", "node").agg(F.struct(F.min("pos"), F.col("node")).alias("pos"))
+    places = nodes.groupBy("g", "node").agg(F.struct(F.min("pos"), F.col("node")).alias("pos"))
     loops = edges.where("src = dst").select("g", F.col("src").alias("node"))
-    edges = cut(edges.where("src <> dst"))
+    members = cut(_components(cut(edges.where("src <> dst")), loops))
+    first = members.join(places, ["g", "node"]).groupBy("g", "comp").agg(F.min("pos").alias("pos"))
+    return members.join(first, ["g", "comp"]).select("g", "node", F.col("pos.node").alias("head"))
+
+
+def _components(edges: DataFrame, loops: DataFrame) -> DataFrame:
+    """(g, node, comp) of the vertices on cycles; ``loops`` (g, node) are on one by themselves.
+
+    A vertex with one way out is on a cycle only together with its end, so the
+    core's components give those of the chains between their members.
+    """
+    alone = loops.distinct().withColumn("comp", F.col("node"))
+    if edges.isEmpty():
+        return alone
+    short = contract(edges, ["g"])
+    if short.core.count() > CORE_SHARE * edges.count():
+        found = _coloured(edges)
+    else:
+        inner = cut(_components(cut(short.core.where("src <> dst")), short.core.where("src = dst").select("g", F.col("src").alias("node"))))
+        leaving = inner.select("g", F.col("node").alias("src"), "comp")
+        closing = inner.select("g", F.col("node").alias("to"), F.col("comp").alias("back"))
+        chains = short.branch.join(short.ends.withColumnRenamed("node", "dst"), ["g", "dst"])
+        heads = chains.join(leaving, ["g", "src"]).join(closing, ["g", "to"]).where("comp = back").select("g", "comp", F.col("dst").alias("node"))
+        between = along(short, cut(heads.distinct()), ["comp"]).join(short.ends.select("g", "node"), ["g", "node"], "left_semi")
+        found = inner.unionByName(between.select(inner.columns)).unionByName(short.rings.withColumnRenamed("head", "comp"))
+    found = cut(found)
+    return found.unionByName(alone.join(found, ["g", "node"], "left_anti"))
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(g, node, comp) of components of two and more vertices: the colouring done in a task, with joins."""
     found = None
     while True:
         while True:  # trim nodes without a way in or out
@@ -235,8 +294,7 @@ def _cycles_large(rows: DataFrame) -> DataFrame:
                 break
         if edges.isEmpty():
             break
-        live = edges.select("g", F.col("src").alias("node")).distinct()
-        colour = cut(nodes.join(live, ["g", "node"]).select("g", "node", F.col("pos").alias("colour")))
+        colour = cut(edges.select("g", F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:
             pulled = (
                 edges.join(colour, (edges["g"] == colour["g"]) & (edges["src"] == colour["node"]))
@@ -252,15 +310,14 @@ def _cycles_large(rows: DataFrame) -> DataFrame:
             colour = stepped.drop("moved")
             if stepped.where("moved").isEmpty():
                 break
-        roots = nodes.join(colour, ["g", "node"]).where("pos = colour").select("g", "colour", "node")
+        roots = colour.where("node = colour").select("g", "colour", "node")
         ends = colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "c1")
         other = colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "c2")
         within = edges.join(ends, ["g", "src"]).join(other, ["g", "dst"]).where("c1 = c2")
         back = within.select("g", F.col("c1").alias("colour"), F.col("dst").alias("src"), F.col("src").alias("dst"))
         members = reach_rounds(back, roots, ["g", "colour"])
-        heads = members.join(roots.withColumnRenamed("node", "head"), ["g", "colour"]).select("g", "node", "head")
-        sized = heads.groupBy("g", "head").agg(F.count("*").alias("n")).where("n > 1").select("g", "head")
-        new = cut(heads.join(sized, ["g", "head"], "left_semi"))
+        sized = members.groupBy("g", "colour").agg(F.count("*").alias("n")).where("n > 1").select("g", "colour")
+        new = cut(members.join(sized, ["g", "colour"], "left_semi").select("g", "node", F.col("colour").alias("comp")))
         found = new if found is None else found.unionByName(new)
         gone = members.select("g", "node")
         edges = cut(
@@ -268,10 +325,9 @@ def _cycles_large(rows: DataFrame) -> DataFrame:
                 gone.withColumnRenamed("node", "dst"), ["g", "dst"], "left_anti"
             )
         )
-    lone = loops.select("g", "node", F.col("node").alias("head"))
     if found is None:
-        return lone
-    return found.select("g", "node", "head").unionByName(lone.join(found, ["g", "node"], "left_anti"))
+        return edges.select("g", F.col("src").alias("node"), F.col("src").alias("comp"))
+    return found
 
 
 # --- public operators --------------------------------------------------------

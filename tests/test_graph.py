@@ -109,3 +109,68 @@ def test_polling_loop_needs_a_leaving_branch(spark):
     edges = spark.createDataFrame([e for p in pages for e in p[1]], "release_id string, owner_id string, page_id string, src string, dst string, kind string, edge_pos int")
     got = graph.polling_loops(stages, edges).collect()
     assert [(r.page_id, r.get_next_id, r.decision_id, r.work_head_id, r.mark_id, r.anchors) for r in got] == [("good", "get", "dec", "work", "mark", 1)]
+
+
+def solved_both_ways(n, e):
+    """Answers in tasks, then with joins."""
+    reach = [{(r.page_id, r.stage_id): r.reached for r in graph.reachable(n, e, cap=cap).collect()} for cap in (50_000, 0)]
+    heads = [{(r.page_id, r.stage_id): r.head for r in graph.cycles(n, e, cap=cap).collect()} for cap in (50_000, 0)]
+    return reach, heads
+
+
+def test_contracted_flows(spark, monkeypatch):
+    """Rings, chains into and out of cycles, diamonds, trees of dead ends, ladders and random pages, all by contraction."""
+    monkeypatch.setattr(graph, "PLAIN_ROUNDS", 0)
+    shapes = {
+        "ring": [(i, (i + 1) % 9) for i in range(9)] + [(20, 21), (21, 3)],
+        "ring_with_way_out": [(i, (i + 1) % 9) for i in range(9)] + [(4, 30), (30, 31), (31, 32), (10, 11), (11, 2)],
+        "two_rings": [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 3), (5, 6)],
+        "diamonds": [x for i in range(0, 15, 3) for x in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))] + [(15, 0)],
+        "diamonds_open": [x for i in range(0, 15, 3) for x in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))],
+        "caterpillar": [x for i in range(9) for x in ((i, i + 1), (i, 100 + i))] + [(9, 5)],
+        "tree": [(i, 2 * i + j) for i in range(1, 8) for j in (0, 1)],
+        "ladder": [x for i in range(6) for x in ((i, i + 1), (i, i + 2))] + [(7, 3)],
+        "own_loops": [(0, 0), (0, 1), (1, 2), (2, 2), (2, 1), (3, 3)],
+        "star": [(i, 50) for i in range(20)] + [(50, 51), (51, 52), (52, 7)],
+    }
+    rnd = random.Random(5)
+    nodes, edges = random_pages(7, 10)
+    for page, links in shapes.items():
+        names = sorted({x for link in links for x in link})
+        at = rnd.sample(range(len(names)), len(names))
+        nodes += [("R", "O", page, str(x), p, i == 1) for i, (x, p) in enumerate(zip(names, at))]
+        edges += [("R", "O", page, str(a), str(b)) for a, b in links]
+    n = spark.createDataFrame(nodes, "release_id string, owner_id string, page_id string, stage_id string, stage_pos int, seed boolean")
+    e = spark.createDataFrame(edges, "release_id string, owner_id string, page_id string, src string, dst string")
+    (in_tasks, joined), (heads, joined_heads) = solved_both_ways(n, e)
+    reach = closure(nodes, edges)
+    seeds = {(x[2], x[3]) for x in nodes if x[5]}
+    assert in_tasks == joined == {k: k in seeds or any(k in reach[s] for s in seeds) for k in reach}
+    order = {(x[2], x[3]): x[4] for x in nodes}
+    assert heads == joined_heads == {k: min((m for m in reach[k] if k in reach[m]), key=order.get)[1] for k in reach if k in reach[k]}
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """5,000 stages in a row that end in a ring of 10: checkpoints grow with the logarithm of the depth."""
+    from procatlas.operators import chains
+
+    rounds = []
+
+    def counted(df):
+        rounds.append(1)
+        return cut(df)
+
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", counted)
+    monkeypatch.setattr(chains, "cut", counted)
+    size = 5_000
+    n = spark.range(size).selectExpr("'R' release_id", "'O' owner_id", "'p' page_id", "string(id) stage_id", "int(id) stage_pos", "id = 7 seed")
+    e = spark.range(size).selectExpr("'R' release_id", "'O' owner_id", "'p' page_id", "string(id) src", f"string(if(id = {size - 1}, {size - 10}, id + 1)) dst")
+    got = graph.reachable(n, e, cap=1000)
+    assert got.where("reached").agg({"stage_id": "count"}).first()[0] == size - 7
+    assert got.where("not reached").count() == 7
+    assert len(rounds) < 40
+    rounds.clear()
+    ring = graph.cycles(n, e, cap=1000).collect()
+    assert sorted(int(r.stage_id) for r in ring) == list(range(size - 10, size)) and {r.head for r in ring} == {str(size - 10)}
+    assert len(rounds) < 40
