@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 from procatlas.functions import literals
 from procatlas.functions import text as t
 from procatlas.model import OWNER, PAGE, Estate
+from procatlas.operators.search import contained
 
 # Marks of source content, and the lengths from which values are guarded.
 CONTENT_MARKERS = ("<?xml", "<process", "<stage", "<object", "xmlns", "<activity", "</")
 MIN_DATA_VALUE, MIN_ATTRIBUTE_VALUE = 4, 8
 MAX_PAYLOAD_BYTES = 100_000
-SALT_ROWS = 50_000  # texts of one piece that one task should meet
 
 
 def digest_stages(stages: DataFrame) -> DataFrame:
@@ -65,64 +65,10 @@ def forbidden_values(items: DataFrame, elements: DataFrame) -> DataFrame:
     return data.unionByName(attributes).distinct()
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct pieces of the given length: the characters zipped with themselves shifted, so this is linear."""
-    chars = F.split(text, "")
-    shifted = [F.slice(chars, 1 + k, 2**30).alias(f"c{k}") for k in range(size)]
-    pieces = F.transform(F.arrays_zip(*shifted), lambda z: F.concat(*[z[f"c{k}"] for k in range(size)]))
-    return F.array_distinct(F.filter(pieces, lambda p: p.isNotNull()))
-
-
-# between words: anything but letters and digits
-BETWEEN = r"[^\p{L}\p{N}]+"
-
-
-def _inner_words(needle: Column) -> Column:
-    """The words of a value except its first and last, which may be parts of longer words in a text."""
-    words = F.split(needle, BETWEEN)
-    return F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-
-
 def leaked_values(texts: DataFrame, values: DataFrame, keys: Sequence[str] = ("release_id",), size: int = MIN_DATA_VALUE) -> DataFrame:
-    """(keys, text_id, value) wherever a text contains a value of at least ``size`` characters, whatever the case.
-
-    Texts and values meet on pieces: whole words where a value has words inside,
-    else runs of ``size`` characters.  Each value is looked up by the one of its
-    pieces that the fewest texts hold; only texts with that piece are compared, and
-    then as a whole.
-    """
-    keys = list(keys)
-    v = values.withColumn("needle", F.lower("value")).where(F.length("needle") >= size).select(*keys, "value", "needle").distinct()
-    v = v.withColumn("words", F.array_distinct(_inner_words(F.col("needle"))))
-    h = texts.select(*keys, "text_id", F.lower("text").alias("hay"))
-    by_word = v.where(F.size("words") > 0).withColumnRenamed("words", "pieces")
-    found = _verified(h, by_word, F.array_distinct(F.split("hay", BETWEEN)), keys)
-    by_gram = v.where(F.size("words") == 0).drop("words")
-    if by_gram.isEmpty():  # the runs of characters of every text are only cut when some value needs them
-        return found
-    return found.unionByName(_verified(h, by_gram.withColumn("pieces", _grams(F.col("needle"), size)), _grams(F.col("hay"), size), keys))
-
-
-def _verified(h: DataFrame, v: DataFrame, text_pieces: Column, keys: list[str]) -> DataFrame:
-    """Look-up by the rarest piece, then full comparison.
-
-    Pieces travel without their text and only if some value has them; a piece is
-    spread over as many salts as the number of its texts asks for.
-    """
-    wanted = v.select(*keys, "value", "needle", F.explode("pieces").alias("piece"))
-    held = h.select(*keys, "text_id", F.explode(text_pieces).alias("piece")).join(
-        wanted.select(*keys, "piece").distinct(), [*keys, "piece"], "left_semi"
-    )
-    freq = held.groupBy(*keys, "piece").agg(F.count("*").alias("freq"))
-    # a value one of whose pieces no text holds cannot occur at all
-    rarest = wanted.join(freq, [*keys, "piece"], "left").groupBy(*keys, "value", "needle").agg(
-        F.min_by(F.struct("piece", "freq"), F.struct(F.coalesce("freq", F.lit(0)), "piece")).alias("p")
-    ).where("p.freq is not null").select(*keys, "value", "needle", F.col("p.piece").alias("piece"), F.ceil(F.col("p.freq") / SALT_ROWS).alias("salts"))
-    chosen = rarest.select(*keys, "piece", "salts").distinct()
-    spread = held.join(chosen, [*keys, "piece"]).withColumn("salt", F.pmod(F.xxhash64("text_id"), "salts")).drop("salts")
-    lookups = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    candidates = spread.join(lookups, [*keys, "piece", "salt"]).select(*keys, "text_id", "value", "needle")
-    return candidates.join(h, [*keys, "text_id"]).where(F.contains("hay", F.col("needle"))).select(*keys, "text_id", "value")
+    """(keys, text_id, value) wherever a text contains a value of at least ``size`` characters, whatever the case."""
+    sought = values.withColumn("body", F.lower("value")).where(F.length("body") >= size)
+    return contained(texts.withColumn("body", F.lower("text")), sought, list(keys))
 
 
 def digest_leaks(estate: Estate) -> DataFrame:

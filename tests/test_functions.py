@@ -113,6 +113,25 @@ def test_leaks_match_plain_containment(spark):
     assert got == {(i, v) for i, x in texts for v in values if v.lower() in x.lower()}
 
 
+@pytest.mark.parametrize("value_chars,text_chars", [(1_000_000, 4_000_000), (5, 40)])
+def test_many_values_in_slices(spark, value_chars, text_chars):
+    """Keys, nulls, values in other case or within others, repeated rows, empty and long texts; many slices and salts too."""
+    from procatlas.operators.search import contained
+
+    rnd = random.Random(3)
+    pick = lambda n: "".join(rnd.choice("abé😀 ") for _ in range(n))
+    texts = [(rnd.choice(["r", "s", None]), i, pick(rnd.randint(0, 30))) for i in range(60)]
+    texts += [("r", 60, None), ("r", 61, ""), ("s", None, "abab"), ("s", None, "abab"), ("r", 62, pick(20_000)), ("lone", 63, "ab")]
+    values = [(rnd.choice(["r", "s", None, "none"]), v, v.lower()) for v in {pick(rnd.randint(1, 4)).replace("a", rnd.choice("aA")) for _ in range(40)}]
+    values += [("s", "ab", "ab"), ("s", "AB", "ab"), ("s", "ab", "ab"), ("s", "bab", "bab"), ("r", None, "a"), ("r", "", ""), ("r", "a", None)]
+    t_df = spark.createDataFrame(texts, "k string, text_id long, body string")
+    v_df = spark.createDataFrame(values, "k string, value string, body string")
+    got = sorted((r.k, str(r.text_id), r.value) for r in contained(t_df, v_df, ["k"], value_chars, text_chars).collect())
+    known = {v for v in values if all(v)}
+    assert got == sorted((k, str(i), v) for k, i, x in texts for kv, v, n in known if k == kv and x is not None and n in x)
+    assert contained(t_df, v_df.where("false"), ["k"]).count() == contained(t_df.where("false"), v_df, []).count() == 0
+
+
 @pytest.mark.parametrize("interval,want", [("d", 31), ("h", 756), ("m", 1), ("yyyy", 1), ("q", 1), ("n", 45360), ("w", 4), ("ww", 5)])
 def test_date_diff(spark, interval, want):
     a, b = F.lit("2023-12-15 00:00:00").cast("timestamp"), F.lit("2024-01-15 12:00:00").cast("timestamp")
