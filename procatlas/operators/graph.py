@@ -492,13 +492,42 @@ def resolve_calls(stages: DataFrame, owners: DataFrame, pages: DataFrame) -> Dat
     )
 
 
+def _ways_home(stages: DataFrame, group: list[str]) -> DataFrame:
+    """(group, node, mark_id, anchors) of stages whose flow works, writes one status, then hops home to the fetch.
+
+    A row sums up some steps of a flow, twice as many each round: whether they may be walked before a status
+    write (``fresh``) and after one (``done``), the write among them, and the anchors behind it and in all.
+    """
+    is_ = lambda *roles: F.col("role").isin(*roles)
+    way = cut(stages.where(~is_("stop", "fetch") & F.col("next_flow").isNotNull()).select(
+        *group, "size", "fetch_id", F.col("stage_id").alias("node"), F.col("next_flow").alias("to"),
+        F.when(is_("mark"), F.col("stage_id")).alias("mark_id"), F.lit(True).alias("fresh"), is_("anchor").alias("done"),
+        is_("work").alias("worked"), F.lit(0).alias("anchors"), is_("anchor").cast("int").alias("hops"),
+    ))
+    is_home = F.col("to") == F.col("fetch_id")
+    longest, reach = way.agg(F.max("size")).first()[0] or 0, 1
+    while reach < longest and not way.where(~is_home).isEmpty():
+        a, b = way.where(~is_home).alias("a"), way.alias("b")
+        ahead = (F.col("a.to") == F.col("b.node")) & reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in group])
+        written_before = F.col("a.mark_id").isNotNull()
+        joined = a.join(b, ahead).select(
+            *[f"a.{c}" for c in [*group, "size", "fetch_id", "node"]], "b.to", F.coalesce("a.mark_id", "b.mark_id").alias("mark_id"),
+            (F.col("a.fresh") & F.when(written_before, F.col("b.done")).otherwise(F.col("b.fresh"))).alias("fresh"),
+            (F.col("a.done") & F.col("b.done")).alias("done"), (F.col("a.worked") | F.col("b.worked")).alias("worked"),
+            F.when(written_before, F.col("a.anchors") + F.col("b.hops")).otherwise(F.col("b.anchors")).alias("anchors"),
+            (F.col("a.hops") + F.col("b.hops")).alias("hops"),
+        )
+        way = cut(joined.where("fresh or done").unionByName(way.where(is_home)))
+        reach *= 2
+    return way.where(is_home & F.col("fresh") & F.col("worked") & F.col("mark_id").isNotNull()).select(*group, "node", "mark_id", "anchors")
+
+
 def polling_loops(stages: DataFrame, edges: DataFrame, group: Sequence[str] = PAGE) -> DataFrame:
     """Pages of the shape: one fetch → decision → work → one status write → anchors → fetch.
 
-    The other side of the decision must leave the loop.  Walkers follow the only
-    flow edge of each stage; a walker that branches, ends, meets a second status
-    write or works after one is dropped, and so is one that takes more steps
-    than its page has stages.
+    The other side of the decision must leave the loop.  Between decision and fetch
+    each stage goes on by its only flow edge; a way that branches, ends, meets a second
+    status write or works after one is none.  Of stages that share an id the first counts.
     """
     from procatlas.functions.text import queue_action_class
 
@@ -511,7 +540,7 @@ def polling_loops(stages: DataFrame, edges: DataFrame, group: Sequence[str] = PA
         .when(F.col("kind") == "anchor", "anchor")
         .otherwise("work")
     )
-    marked = stages.select(*group, "stage_id", "kind", role.alias("role"))
+    marked = stages.select(*group, "stage_id", "stage_pos", "kind", role.alias("role"))
     sizes = marked.groupBy(*group).agg(
         F.count("*").alias("size"), F.count_if(F.col("role") == "fetch").alias("fetches"),
         F.max(F.when(F.col("role") == "fetch", F.col("stage_id"))).alias("fetch_id"),
@@ -519,6 +548,7 @@ def polling_loops(stages: DataFrame, edges: DataFrame, group: Sequence[str] = PA
     flow = flow_maps(stages, edges, group)
     nxt = cut(
         marked.join(sizes.select(*group), group, "left_semi")
+        .groupBy(*group, "stage_id").agg(F.min_by("kind", "stage_pos").alias("kind"), F.min_by("role", "stage_pos").alias("role"))
         .join(flow.withColumnRenamed("src", "stage_id"), [*group, "stage_id"], "left")
     )
     fetch = nxt.where("role = 'fetch'").join(sizes, group).select(*group, "size", "fetch_id", F.col("next_flow").alias("stage_id"))
@@ -532,37 +562,9 @@ def polling_loops(stages: DataFrame, edges: DataFrame, group: Sequence[str] = PA
         F.struct(F.lit(1).alias("side"), F.col("on_false").alias("head"), F.col("on_true").alias("exit")),
     )
     walk = decision.select(*group, "size", "fetch_id", "decision_id", F.inline(sides))
-    walk = cut(
-        walk.select("*", F.col("head").alias("at"), F.lit(None).cast("string").alias("mark_id"),
-                    F.lit(False).alias("worked"), F.lit(0).alias("anchors"), F.lit(0).alias("steps"))
-    )
-    arrived = []
-    while not walk.isEmpty():
-        home = (F.col("at") == F.col("fetch_id")) & F.col("mark_id").isNotNull() & F.col("worked")
-        arrived.append(walk.where(home))
-        here = nxt.select(*group, F.col("stage_id").alias("at"), "role", "next_flow")
-        moved = walk.where((F.col("at") != F.col("fetch_id")) & (F.col("steps") < F.col("size"))).join(here, [*group, "at"])
-        legal = (
-            (F.col("role") != "stop")
-            & ~((F.col("role") == "mark") & F.col("mark_id").isNotNull())
-            & ~(F.col("role").isin("work", "fetch") & F.col("mark_id").isNotNull())
-            & F.col("next_flow").isNotNull()
-        )
-        walk = cut(
-            moved.where(legal).select(
-                *group, "size", "fetch_id", "decision_id", "side", "head", "exit", F.col("next_flow").alias("at"),
-                F.coalesce("mark_id", F.when(F.col("role") == "mark", F.col("at"))).alias("mark_id"),
-                (F.col("worked") | (F.col("role") == "work")).alias("worked"),
-                (F.col("anchors") + ((F.col("role") == "anchor") & F.col("mark_id").isNotNull()).cast("int")).alias("anchors"),
-                (F.col("steps") + 1).alias("steps"),
-            )
-        )
-    if not arrived:
-        return walk.select(*group, F.col("fetch_id").alias("get_next_id"), "decision_id", F.col("head").alias("work_head_id"), "mark_id", "anchors")
-    closed = arrived[0]
-    for more in arrived[1:]:
-        closed = closed.unionByName(more)
-    closed = cut(closed)
+    walk = cut(walk)
+    ways = _ways_home(nxt.join(walk.select(*group, "fetch_id", "size").distinct(), group), group)
+    closed = cut(walk.join(ways.withColumnRenamed("node", "head"), [*group, "head"]))
     # the first side that loops decides; its exit must not lead back to the fetch
     first = closed.groupBy(*group).agg(F.min("side").alias("side"))
     closed = closed.join(first, [*group, "side"])

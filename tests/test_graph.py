@@ -174,3 +174,54 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     ring = graph.cycles(n, e, cap=1000).collect()
     assert sorted(int(r.stage_id) for r in ring) == list(range(size - 10, size)) and {r.head for r in ring} == {str(size - 10)}
     assert len(rounds) < 40
+
+
+def test_polling_loops_match_a_walk(spark):
+    """Random flows of work, anchors, status writes, stops and dead ends, one of them long, against one walker a side."""
+    rnd = random.Random(9)
+    columns = "release_id string, owner_id string, page_id string, stage_id string, stage_pos int, kind string, object_name string, queue_name string, action_name string"
+    kinds = {"work": "write", "anchor": "anchor", "stop": "choice", "mark": "action"}
+    stages, edges, want = [], [], set()
+    for p in range(150):
+        page, size = f"p{p}", 300 if p == 0 else rnd.randint(1, 6)
+        weights = [1, 0, 0, 0] if p == 0 else [6, 5, 1, 5]
+        roles = {f"s{i}": rnd.choices(["work", "anchor", "stop", "mark"], weights)[0] for i in range(size)}
+        if p == 0:
+            roles |= {f"s{i}": "anchor" for i in range(200, 300)} | {"s199": "mark"}
+        elif rnd.random() < 0.4:
+            at = rnd.randrange(size)
+            roles = {s: "work" if i < at else "mark" if i == at else "anchor" for i, s in enumerate(roles)}
+        ids = list(roles)
+        follows = {a: b for a, b in zip(ids, [*ids[1:], "get"])}
+        if p and rnd.random() < 0.3:
+            follows[rnd.choice(ids)] = rnd.choice([*ids, None])
+        heads = ("s0", "out") if rnd.random() < 0.5 else ("out", "s0")
+        if p and rnd.random() < 0.3:
+            heads = (heads[0], rnd.choice(ids))
+        out_back = p > 0 and rnd.random() < 0.2
+        links = [("get", "dec", "flow"), ("dec", heads[0], "true"), ("dec", heads[1], "false"), *[(a, b, "flow") for a, b in follows.items() if b]]
+        links += [("out", "get", "flow")] if out_back else []
+        queue = {"get": "Get Next Item", **{s: "Mark Completed" for s, r in roles.items() if r == "mark"}}
+        kind = {"get": "action", "dec": "decision", "out": "end", **{s: kinds[r] for s, r in roles.items()}}
+        stages += [("R", "P", page, s, i, k, "Work Queues" if s in queue else None, None, queue.get(s)) for i, (s, k) in enumerate(kind.items())]
+        edges += [("R", "P", page, a, b, k, i) for i, (a, b, k) in enumerate(links)]
+        reach = closure([("R", "P", page, s) for s in kind], [("R", "P", page, a, b) for a, b, _ in links])
+        for head, exit_ in (heads, heads[::-1]):
+            at, mark, worked, anchors, seen = head, None, False, 0, set()
+            while at not in (None, "get", "out") and at not in seen:
+                seen.add(at)
+                if roles[at] == "stop" or (mark and roles[at] != "anchor"):
+                    at = None
+                    break
+                worked, anchors = worked or roles[at] == "work", anchors + bool(mark and roles[at] == "anchor")
+                mark = at if roles[at] == "mark" else mark
+                at = follows[at]
+            if at == "get" and mark and worked:
+                if (page, "get") not in reach[(page, exit_)]:
+                    want.add((page, "get", "dec", head, mark, anchors))
+                break
+    s = spark.createDataFrame(stages, columns)
+    e = spark.createDataFrame(edges, "release_id string, owner_id string, page_id string, src string, dst string, kind string, edge_pos int")
+    got = [(r.page_id, r.get_next_id, r.decision_id, r.work_head_id, r.mark_id, r.anchors) for r in graph.polling_loops(s, e).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 10 and ("p0", "get", "dec", "s0", "s199", 100) in want
