@@ -15,6 +15,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procatlas.llm.tokens import encoder
+from procatlas.session import CHECKPOINT_CONF
 
 _LENGTH, _CHECK, _HEAD = "<Q", "<I", "<BBq"
 FRAME = struct.calcsize(_LENGTH) + 2 * struct.calcsize(_CHECK)
 _MASK_DELTA = 0xA282EAD8  # fixed value of the record format
+#: Spark's names of file systems, and Arrow's
+_SCHEMES = {"hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 
 _INDEX = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64())])
 _INDEX_DDL = "part long, number long, doc_id long, offset long, length long, first_token long, n_tokens long"
@@ -63,13 +67,39 @@ def unframe(record: bytes) -> tuple[int | None, bytes]:
     return (None if missing else doc_id), ids.astype("<u4").tobytes()
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark understands it: without one it lies on Hadoop's default file system.
+
+    On a cluster a folder on the machine's own disk is refused unless it lies in one that the cluster calls shared,
+    ``spark.checkpoint.dir`` or the warehouse.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def whole(name: str) -> str:
+        at = path(name)
+        return at.getFileSystem(conf).makeQualified(at).toString().rstrip("/")
+
+    full = whole(folder)
+    if full.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        named = [spark.sparkContext.getCheckpointDir(), spark.sparkContext.getConf().get(CHECKPOINT_CONF, None), spark.conf.get(CHECKPOINT_CONF, None), spark.conf.get("spark.sql.warehouse.dir", None)]
+        shared = [whole(n) for n in named if n]
+        if not any(full == s or full.startswith(s + "/") for s in shared):
+            raise ValueError(f"{full} is a folder of one machine; records need one that all executors share")
+    return full
+
+
 def _storage(folder: str):
-    """(file system, path) of a folder that driver and executors share."""
+    """(Arrow's file system, path) of a qualified folder."""
     from pyarrow import fs
 
-    if "://" in folder and not folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    scheme, _, rest = folder.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    known = _SCHEMES.get(scheme)
+    if known is None:
+        raise ValueError(f"no records on {scheme}: folders")
+    return fs.FileSystem.from_uri(f"{known}:{quote(rest, safe='/:@')}")
 
 
 def _file(part: int) -> str:
@@ -91,6 +121,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2
     folder must be reachable by every executor through a file system that Arrow knows.
     """
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches):
@@ -147,6 +178,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
     ``start`` is the number of ids in all documents before; only the files' totals, one row each, are summed in order.
     """
+    folder = qualified(spark, folder)
     index = read_index(spark, folder)
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -176,6 +208,7 @@ def read_at(wanted: DataFrame, folder: str) -> DataFrame:
 
     ``start`` counts within the file here.
     """
+    folder = qualified(wanted.sparkSession, folder)
 
     def read(batches):
         store, path = _storage(folder)

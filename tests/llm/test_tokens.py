@@ -98,6 +98,24 @@ def test_records_round_trip(spark, tmp_path):
     assert [(r["part"], r["number"]) for r in shuffled] != [(r["part"], r["number"]) for r in read]
 
 
+def test_folders_of_records(spark, tmp_path, monkeypatch):
+    """URIs and names with odd characters; on a cluster only folders below a shared one, and only known schemes."""
+    docs = cases.frame(spark, cases.rows())
+    for folder in (f"file:{tmp_path}/a b%20c", f"file://{tmp_path}/two"):
+        records.write_records(docs, folder, vocabulary(), files=2)
+        assert records.read_records(spark, folder).count() == len(cases.rows())
+    assert (tmp_path / "a b%20c" / "data").is_dir() and (tmp_path / "two" / "index").is_dir()
+    assert records.qualified(spark, str(tmp_path / "x") + "/") == f"file:{tmp_path}/x"
+    with pytest.raises(ValueError, match="no records on wasbs"):
+        records._storage("wasbs://c@a.blob.core.windows.net/x")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://cluster")
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: f"file:{tmp_path}/shared/run")
+    assert records.qualified(spark, f"{tmp_path}/shared/run/set") == f"file:{tmp_path}/shared/run/set"
+    for folder in (f"{tmp_path}/shared/running", f"file:{tmp_path}/own"):
+        with pytest.raises(ValueError, match="one machine"):
+            records.qualified(spark, folder)
+
+
 def test_records_of_nothing(spark, tmp_path):
     records.write_records(cases.frame(spark, []), str(tmp_path / "none"), vocabulary(), files=2)
     assert records.read_records(spark, str(tmp_path / "none")).count() == 0
