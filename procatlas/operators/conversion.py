@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from procatlas.functions import text as t
 from procatlas.functions.expressions import FUNCTION_NAMES
 from procatlas.model import OWNER, PAGE, STAGE, Estate
-from procatlas.operators import graph, naming
+from procatlas.operators import graph, naming, syntax
 from procatlas.operators.score import coverage_pct
 from procatlas.operators.select import uses_queues
 from procatlas.session import cut, written
@@ -213,11 +213,10 @@ def pages_needing_item(estate: Estate) -> DataFrame:
 
 
 def expression_calls(stages: DataFrame) -> DataFrame:
-    """Function names that expressions call, text inside quotes left out; one row per call."""
+    """The functions that expressions call, read by their syntax; one row per call."""
     raw = stages.select(*STAGE, "page_name", "name", "kind", "source_ref", F.explode("exprs.raw").alias("raw"))
-    bare = F.regexp_replace("raw", '"[^"]*"', '""')
-    called = F.regexp_extract_all(F.regexp_replace(bare, r"\[[^\]]*\]", "[]"), F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1))
-    return raw.select("*", F.explode(called).alias("function")).where(~F.lower("function").isin("and", "or", "not"))
+    calls = syntax.expression_parts(raw).where(F.col("part") == "call")
+    return calls.select(*raw.columns, F.col("text").alias("function"))
 
 
 def expression_inventory(stages: DataFrame) -> DataFrame:
