@@ -342,6 +342,26 @@ def report_lines(spark, sf):
     return lines.groupBy(F.get_json_object("line", "$.record").alias("record")).agg(F.count("*").alias("n"))
 
 
+RULE_IDS = "concat(CASE WHEN o_orderkey % 3 = 0 THEN 'SEC-001,' ELSE '' END, CASE WHEN o_orderkey % 10 = 3 THEN 'SEC-001,' ELSE '' END, 'MNT-002')"
+
+
+@query("report_documents", f"""
+WITH o AS (SELECT {K} AS k, o_orderkey, CAST(o_orderkey AS BIGINT) AS n, {SCORE} AS sc, {GRADE} AS g, {RULE_IDS} AS rules, {VALUES['narrative']} AS purpose, {VALUES['p']} AS p FROM orders),
+d AS (SELECT *, 1 + CAST(n % 3 = 0 AS INT) + CAST(n % 10 = 3 AS INT) AS found FROM o),
+c AS (SELECT *, 1 AS position, concat('Order Object ', k) AS name, 'object' AS role, 100 AS score, 'A' AS grade, 7 AS stages, 'Drives the order screen' AS why, '' AS ids FROM d
+  UNION ALL SELECT *, 2, concat('Order ', k), 'process', sc, g, 27, purpose, rules FROM d)
+SELECT concat('order-', k, '.bprelease') AS file, concat('Package ', p) AS package_name, CAST(2 AS BIGINT) AS components, CAST(found AS BIGINT) AS findings, CAST(floor((100 + sc) / 2.0 + 0.5) AS BIGINT) AS average_score,
+  g AS worst_grade, CAST(position AS INT) AS position, name, role, CAST(score AS BIGINT) AS score, grade, CAST(stages AS BIGINT) AS stage_count, why AS purpose, ids AS rule_ids FROM c""")
+def report_documents(spark, sf):
+    """Nested documents, written and read back; their components are compared with the findings inside."""
+    path = f"{shared_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex}"
+    e, findings, scored = _report(spark, sf)
+    reports.write_report_documents(e, findings, scored, path)
+    read = reports.scan_report_documents(spark, path).select("*", F.posexplode("parts").alias("position", "part"))
+    return read.select("file", "package_name", "components", "findings", "average_score", "worst_grade", (F.col("position") + 1).alias("position"), *[f"part.{c}" for c in reports.COMPONENT_FIELDS],
+                       F.array_join("part.findings.rule_id", ",").alias("rule_ids"))
+
+
 @query("queue_manifest", with_cte("""
 SELECT release_id, name, arg_max(encrypted, queue_pos) AS encrypted, 'work-queue-definition' AS source FROM qu GROUP BY 1, 2
 UNION ALL SELECT DISTINCT release_id, queue_name, CAST(NULL AS BOOLEAN), 'referenced-by-process' FROM st WHERE queue_name IS NOT NULL AND (release_id, queue_name) NOT IN (SELECT release_id, name FROM qu)"""))

@@ -9,6 +9,8 @@ from procatlas.functions.ranks import severity_rank
 from procatlas.model import Estate, located_owner, location_key
 from procatlas.operators import conversion, score
 from procatlas.operators.summary import location_paths
+from procatlas.operators.windows import numbered
+from procatlas.session import written
 
 # Fixed schema of an answer key file.
 _FINDING = "struct<ruleId:string,severity:string,processName:string,objectName:string,pageName:string,stageName:string,elementName:string>"
@@ -56,33 +58,78 @@ def scan_workspace(spark: SparkSession, root: str, table: str, where: dict[str,
     return df.orderBy(*order) if order else df
 
 
-def report_lines(estate: Estate, findings: DataFrame, scored: DataFrame) -> DataFrame:
-    """The analysis report as JSON lines: a line per file, component and finding.
+FILE_FIELDS = ("file", "package_name", "bp_version", "parse_errors", "parse_warnings", "components", "findings", "average_score", "worst_grade")
+COMPONENT_FIELDS = ("name", "role", "score", "grade", "stage_count", "purpose")
+FINDING_FIELDS = ("rule_id", "severity", "category", "message")
 
-    Lines carry their place in the report, so the report is written by sorted
-    partitions and no task assembles a whole file.
-    """
+REPORT_DOCUMENT = (
+    "release_id string, document int, file string, package_name string, bp_version string, parse_errors long, parse_warnings long, components long, findings long, "
+    "average_score long, worst_grade string, parts array<struct<name:string,role:string,score:long,grade:string,stage_count:long,purpose:string,"
+    "findings:array<struct<rule_id:string,severity:string,category:string,message:string>>>>"
+)
+
+
+def _records(estate: Estate, findings: DataFrame, scored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a row per file, per component and per finding) with the fields of their records; findings have their place in the component."""
+    key = ["release_id", "owner_id"]
     files = estate.releases.select("release_id", "file", "package_name", "bp_version")
     totals = score.file_totals(scored, findings)
     problems = estate.issues.groupBy("release_id").agg(
         F.count_if(F.col("level") == "error").alias("parse_errors"), F.count_if(F.col("level") == "warning").alias("parse_warnings")
     )
-    stages = estate.stages.groupBy("release_id", "owner_id").agg(F.count("*").alias("stage_count"))
+    stages = estate.stages.groupBy(*key).agg(F.count("*").alias("stage_count"))
     head = files.join(totals, "release_id", "left").join(problems, "release_id", "left").na.fill(0)
-    file_lines = head.select(
-        "release_id", F.lit("").alias("owner_id"), F.lit("").alias("place"),
-        F.to_json(F.struct(F.lit("file").alias("record"), "file", "package_name", "bp_version", "parse_errors", "parse_warnings", "components", "findings", "average_score", "worst_grade")).alias("line"),
-    )
-    parts = scored.join(stages, ["release_id", "owner_id"], "left").join(estate.owners.select("release_id", "owner_id", "description"), ["release_id", "owner_id"], "left")
-    component_lines = parts.select(
-        "release_id", "owner_id", F.lit("").alias("place"),
-        F.to_json(F.struct(F.lit("component").alias("record"), "name", F.col("owner_type").alias("role"), "score", "grade", F.coalesce("stage_count", F.lit(0)).alias("stage_count"), F.coalesce("description", F.lit("")).alias("purpose"))).alias("line"),
+    parts = scored.join(stages, key, "left").join(estate.owners.select(*key, "description"), key, "left").select(
+        *key, "name", F.col("owner_type").alias("role"), "score", "grade", F.coalesce("stage_count", F.lit(0)).alias("stage_count"), F.coalesce("description", F.lit("")).alias("purpose")
     )
-    finding_lines = findings.select(
-        "release_id", located_owner().alias("owner_id"), F.concat_ws("/", severity_rank("severity").cast("string"), "rule_id", location_key()).alias("place"),
-        F.to_json(F.struct(F.lit("finding").alias("record"), "rule_id", "severity", "category", "message")).alias("line"),
+    place = F.concat_ws("/", severity_rank("severity").cast("string"), "rule_id", location_key())
+    return head.select("release_id", *FILE_FIELDS), parts, findings.select("release_id", located_owner().alias("owner_id"), place.alias("place"), *FINDING_FIELDS)
+
+
+def report_lines(estate: Estate, findings: DataFrame, scored: DataFrame) -> DataFrame:
+    """The analysis report as JSON lines: a line per file, component and finding.
+
+    Lines carry their place in the report, so the report is written by sorted
+    partitions and no task assembles a whole file.
+    """
+    files, components, found = _records(estate, findings, scored)
+    line = lambda record, fields: F.to_json(F.struct(F.lit(record).alias("record"), *fields)).alias("line")
+    none = F.lit("")
+    file_lines = files.select("release_id", none.alias("owner_id"), none.alias("place"), line("file", FILE_FIELDS))
+    component_lines = components.select("release_id", "owner_id", none.alias("place"), line("component", COMPONENT_FIELDS))
+    return file_lines.unionByName(component_lines).unionByName(found.select("release_id", "owner_id", "place", line("finding", FINDING_FIELDS)))
+
+
+def report_documents(estate: Estate, findings: DataFrame, scored: DataFrame, records: int = 100_000) -> DataFrame:
+    """The analysis report as one nested document per file: its fields, its components in order, their findings in order.
+
+    A document holds at most ``records`` components and findings. A file with more goes on in further ones with the same
+    fields and the next ``document`` number, in which a component that is cut appears again with its other findings; put
+    together in order they are the whole. Findings of no component follow under one without fields; a file without
+    components has one document. Places come from the ranges of one global sort, so no task holds a file's records.
+    """
+    files, components, found = _records(estate, findings, scored)
+    order = ["release_id", "owner_id", "place", "tie"]
+    finding = F.struct(*FINDING_FIELDS).alias("finding")
+    rows = found.select("release_id", F.coalesce("owner_id", F.lit("")).alias("owner_id"), "place", F.xxhash64("message", "category").alias("tie"), finding)
+    heads = components.select("release_id", "owner_id", F.lit("").alias("place"), F.lit(None).cast("long").alias("tie"), F.lit(None).cast(rows.schema["finding"].dataType).alias("finding"))
+    spread = heads.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("split", F.spark_partition_id())
+    placed = numbered(written(spread, "report-records"), ["release_id"], order[1:], [F.col("split")], "at")
+    placed = placed.withColumn("document", F.floor((F.col("at") - 1) / records).cast("int"))
+    entry = F.when(F.col("finding").isNotNull(), F.struct("at", "finding"))
+    nested = placed.groupBy("release_id", "document", "owner_id").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    nested = nested.join(components, ["release_id", "owner_id"], "left").select(
+        "release_id", "document", F.struct("at", F.struct(*COMPONENT_FIELDS, F.col("entries.finding").alias("findings")).alias("component")).alias("entry")
     )
-    return file_lines.unionByName(component_lines).unionByName(finding_lines)
+    documents = nested.groupBy("release_id", "document").agg(F.array_sort(F.collect_list("entry"))["component"].alias("parts"))
+    whole = files.join(documents, "release_id", "left")
+    empty = F.array().cast(whole.schema["parts"].dataType)
+    return whole.select("release_id", F.coalesce("document", F.lit(0)).alias("document"), *FILE_FIELDS, F.coalesce("parts", empty).alias("parts"))
+
+
+def write_report_documents(estate: Estate, findings: DataFrame, scored: DataFrame, path: str, records: int = 100_000) -> None:
+    """The nested documents as JSON, in the order of files."""
+    report_documents(estate, findings, scored, records).repartitionByRange("release_id", "document").sortWithinPartitions("release_id", "document").write.mode("overwrite").json(path)
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str], column: str = "line") -> None:
@@ -94,6 +141,10 @@ def write_report_json(estate: Estate, findings: DataFrame, scored: DataFrame, pa
     write_lines(report_lines(estate, findings, scored), path, ["release_id", "owner_id", "place"])
 
 
+def scan_report_documents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REPORT_DOCUMENT).json(path)
+
+
 def audit_dataset(estate: Estate, findings: DataFrame, coverage: DataFrame, punch: DataFrame, effort: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a row per component, a row per finding of a component with its place and order)."""
     scored = score.score_owners(estate.owners, findings)
