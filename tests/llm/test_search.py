@@ -163,6 +163,33 @@ def test_big_components_are_exact(spark):
     assert sorted(tuple(r) for r in topk.top_k(table, 3, 10).collect()) == top_by_loop(rows, 3, 10)
 
 
+def test_most_blocks_are_left_out_on_clustered_vectors(spark):
+    """Queries meet under a fifth of the candidates, and still find what the loop finds."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (20, 8))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 20] + rng.normal(0, 0.03, 8)]) for i in range(2000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.top_k(table, 5, 10, block=50, query_block=30).collect()) == top_by_loop(rows, 5, 10)
+    blocks = topk.blocks_of(table, 256.0, "vec_id", "embedding", 50)
+    sizes = [r["count"] for r in blocks.groupBy("cb").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 100
+    home = topk.at_home(blocks, 5, 10)
+    floors = home.filter("query_id is not null").groupBy(F.col("query_id").alias("vec_id")).agg(F.min("score").alias("floor"))
+    asked = blocks.filter("vec_id % 10 = 0").join(floors, "vec_id").withColumn("qb", F.lit(0).cast("long")).withColumnRenamed("cb", "home")
+    pairs = topk.reachable_blocks(asked, home.filter("lo is not null").select("dim", "cb", "lo", "hi"), chunk=7)
+    met = pairs.join(blocks.groupBy("cb").count(), "cb").agg(F.sum("count")).first()[0]
+    assert met + 200 * max(sizes) < 200 * 2000 / 5
+
+
+def test_a_floor_ends_the_walk():
+    rng = np.random.default_rng(1)
+    vectors_ = np.floor(256 * rng.normal(0, 0.05, (5000, 4)))
+    held, query = topk.Block(np.arange(5000), vectors_), vectors_[3]
+    best = int((vectors_ @ query).max())
+    assert held.search(-1, query, 5, best)[1][0] == best
+    assert held.search(-1, query, 5, 4 * best)[2] < held.search(-1, query, 5)[2] / 4
+
+
 def test_the_threshold_stops_early():
     rng = np.random.default_rng(1)
     vectors_ = np.floor(256 * rng.normal(0, 0.05, (5000, 4)))
