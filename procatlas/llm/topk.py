@@ -100,12 +100,13 @@ def _side(rows: DataFrame) -> Column:
 
 
 def _cut(rows: DataFrame, along: str, size: int, out: str) -> DataFrame:
-    """Blocks of about ``size`` rows of a dimension, in the order of ``along``; rows that share it are dealt by hash."""
+    """Even blocks of about ``size`` rows of a dimension at most, in the order of ``along``; rows that share it are dealt by hash."""
     counts = rows.groupBy("dim", along).agg(F.count("*").alias("n"))
     before = Window.partitionBy("dim").orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    all_rows = F.sum("n").over(Window.partitionBy("dim"))
+    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("each", F.ceil(all_rows / F.ceil(all_rows / size)))
     at = F.col("start") + F.pmod("key", "n")
-    return rows.join(starts, ["dim", along]).withColumn(out, F.floor(at / size).cast("long")).drop("n", "start")
+    return rows.join(starts, ["dim", along]).withColumn(out, F.floor(at / F.col("each")).cast("long")).drop("n", "start", "each")
 
 
 def blocks_of(vectors: DataFrame, scale: float, vec_id: str, vector: str, block: int) -> DataFrame:
