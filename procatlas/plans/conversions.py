@@ -88,6 +88,19 @@ def stage_mapping(spark, sf):
     return rows.where("status <> 'converted'").groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("stage_mapping_statuses", """
+WITH n AS (SELECT concat('X', CAST(k AS string)) AS release_id,
+  CAST(k % 9 = 0 AS INT) + CAST(k % 2 = 1 AS INT) + CAST(k % 4 = 1 AS INT) + 2 * CAST(k % 5 = 3 AS INT) AS manual,
+  1 + CAST(k % 11 = 0 AS INT) + CAST(s = 'O' AS INT) + CAST(k % 2 = 0 AS INT) + 1 + CAST(k % 8 = 0 AS INT) + CAST(k % 4 <> 1 AS INT) + 2
+    + CAST(k % 5 <> 3 AND (k % 3 <> 2 OR k % 6 = 1) AS INT) + CAST(k % 5 <> 3 AND k % 6 = 1 AS INT) AS review FROM (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders))
+SELECT release_id, CAST(manual AS BIGINT) AS manual, CAST(review AS BIGINT) AS review, CAST(34 - manual - review AS BIGINT) AS converted FROM n""")
+def stage_mapping_statuses(spark, sf):
+    """All stages of each release by status, converted ones among them."""
+    e = xml_estate(spark, sf)
+    rows = conversion.stage_mapping(e, conversion.punch_list(e))
+    return rows.groupBy("release_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("manual", "review", "converted")])
+
+
 @query("target_labels", with_cte("""
 SELECT kind, CASE kind WHEN 'start' THEN 'inputs' WHEN 'data' THEN 'variable' WHEN 'calculation' THEN concat('assignment: ', store_in) WHEN 'decision' THEN 'two-way branch'
   WHEN 'subsheetRef' THEN concat('page call: Pages\\', CASE WHEN target_page_id IS NULL THEN replace(name, ' ', '_') ELSE replace(page_name, ' ', '_') END, '.xaml')

@@ -433,6 +433,34 @@ def build_sync_rows(spark, sf):
     return process.unionByName(finding).unionByName(edge).unionByName(violation)
 
 
+def _sync_rows(spark, sf):
+    from procatlas.operators.tables import build_sync_rows as rows
+
+    e, _, punch, effort = _analysis(spark, sf)
+    return rows(e, cut(run_rules(e, REPORT_RULES)[0]), effort, order_releases(spark, sf))
+
+
+@query("sync_processes", f"""
+WITH o AS (SELECT *, o_orderkey AS k, o_orderstatus AS s, CAST(o_orderkey % 2 = 0 AS INT) AS c FROM orders)
+SELECT {X} AS release_id, {P} AS owner_id, concat('Order ', {K}) AS bp_name, '6.8' AS bp_version, CAST(27 AS BIGINT) AS stage_count, CAST({SCORE} AS BIGINT) AS score, {GRADE} AS grade,
+  CAST(floor(((27 + 7 * c) * 3 + ({PROCESS_PUNCH} + c * ({OBJECT_PUNCH})) * 30 + 2 * c * 10 + c * ({RISKY}) * 20) / 6.0 + 0.5) / 10 AS DOUBLE) AS effort_hours_est,
+  64 AS hash_length, true AS hash_is_its_own FROM o""")
+def sync_processes(spark, sf):
+    """Every column of the process rows; the hash, over the rendered text, by its length and by being no other process's."""
+    rows = _sync_rows(spark, sf)["processes"]
+    times = rows.groupBy("source_hash").agg(F.count("*").alias("times"))
+    return rows.join(times, "source_hash").withColumns({"hash_length": F.length("source_hash"), "hash_is_its_own": F.col("times") == 1}).drop("source_hash", "times")
+
+
+@query("sync_findings", f"""
+SELECT {X} AS release_id, {P} AS owner_id, 'SEC-001' AS rule_id, 'critical' AS severity, 'security' AS category, concat('process/Order ', {K}, '/Main Page/Login Password') AS location_path, true AS has_message FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT {X}, {P}, 'SEC-001', 'critical', 'security', concat('process/Order ', {K}, '/Work/Enter order'), true FROM orders WHERE o_orderkey % 10 = 3
+UNION ALL SELECT {X}, {P}, 'MNT-002', 'low', 'maintainability', concat('process/Order ', {K}, '/Main Page/Spare Item'), true FROM orders""")
+def sync_findings(spark, sf):
+    """Every column of the finding rows; of the message that it is there."""
+    return _sync_rows(spark, sf)["findings"].withColumn("has_message", F.length("message") > 0).drop("message")
+
+
 @query("audit_sections", f"""
 WITH o AS (SELECT *, o_orderkey AS k, o_orderstatus AS s, CAST(o_orderkey % 2 = 0 AS INT) AS c FROM orders)
 SELECT {P} AS owner_id, concat('Order ', {K}) AS name, 'process' AS role, CAST({SCORE} AS BIGINT) AS score, {GRADE} AS grade, CAST(27 AS BIGINT) AS stage_count,
