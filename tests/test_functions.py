@@ -178,3 +178,38 @@ def test_an_export_may_begin_with_long_comments_and_be_of_any_size(spark):
     uploads = spark.createDataFrame([(f, len(c), c) for f, c in rows], "file string, size_bytes long, content string")
     assert {r.file: r.reason is None for r in files.intake_gate(uploads).collect()} == {"a.xml": True, "b.xml": False, "c.xml": True}
     assert files.intake_gate(uploads, 100).where("reason is null").count() == 0
+
+
+def test_numbered_takes_one_shuffle_and_buckets_only_for_large_keys(spark):
+    rows = [("hot", i % 50, i) for i in range(300)] + [(k, i % 3, 1000 + 10 * j + i) for j, k in enumerate(["a", None, "b"]) for i in range(7)]
+    rows += [("a", None, 2000)]
+    df = spark.createDataFrame(rows, "k string, at int, i int")
+    expected = {}
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        expected.update({r[2]: place for place, r in enumerate(mine, 1)})
+    plans = {}
+    for cap in (1000, 100, 2):  # no key is large, one is, all are
+        placed = windows.numbered(df, ["k"], ["at", "i"], [F.col("at")], "pos", cap=cap)
+        assert {r.i: r.pos for r in placed.collect()} == expected
+        assert placed.schema["pos"].dataType.simpleString() == "int"
+        plans[cap] = placed._jdf.queryExecution().sparkPlan().toString() + placed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plans[1000] and "Aggregate" not in plans[1000]
+    assert "Join" in plans[100]
+
+
+def test_stand_in_writes_numbers_only(spark):
+    """Four tables come from the numbered lines; none of them is written again."""
+    import os
+
+    from procatlas.plans import standin
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("benchmark tables are not here")
+    e = standin.estate(spark, sf)
+    files = {name: df.inputFiles() for name, df in e.tables().items()}
+    assert not any("/estate-" in f for fs in files.values() for f in fs)
+    assert all("/lines-" in f for f in files["data_items"])
+    lines = spark.read.parquet(files["data_items"][0])
+    assert {t for c, t in lines.dtypes if c not in ("l_returnflag", "l_linestatus")} <= {"bigint", "int", "double"}
