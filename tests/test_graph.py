@@ -225,3 +225,47 @@ def test_polling_loops_match_a_walk(spark):
     got = [(r.page_id, r.get_next_id, r.decision_id, r.work_head_id, r.mark_id, r.anchors) for r in graph.polling_loops(s, e).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert len(want) > 10 and ("p0", "get", "dec", "s0", "s199", 100) in want
+
+
+def test_branch_joins_in_tasks_take_no_rounds_and_agree_with_a_walk(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(11)
+    heads, edges, stages, want = [], [], [], {}
+    for page in ("a", "b", "c"):
+        ids = [f"s{i}" for i in range(12)]
+        places = {s: (None if s == "s11" else rnd.randint(0, 30) * 20 + i) for i, s in enumerate(ids)}
+        stages += [(page, s, places[s]) for s in ids if s != "s10"]  # s10 is no stage, ways lead through it
+        links = {(rnd.choice(ids), rnd.choice(ids)) for _ in range(14)}
+        edges += [(page, a, b) for a, b in links] * 2
+        for branch in ("s0", "s1", "s2"):
+            mine = {rnd.choice(ids) for _ in range(2)}
+            heads += [(page, branch, h) for h in mine] + [(page, branch, None)]
+            sets = []
+            for h in mine:
+                seen, todo = {h}, [h]
+                while todo:
+                    x = todo.pop()
+                    new = {b for a, b in links if a == x} - seen
+                    seen |= new
+                    todo += new
+                sets.append(seen)
+            common = [s for s in set.intersection(*sets) if s != "s10"]
+            if common:
+                placed = [s for s in common if places[s] is not None]
+                want[page, branch] = min(placed, key=places.get) if placed else None
+    h = spark.createDataFrame(heads + [(None, "x", "s1")], "page_id string, branch string, head string")
+    e = spark.createDataFrame(edges + [("a", "s0", None)], "page_id string, src string, dst string")
+    s = spark.createDataFrame(stages, "page_id string, stage_id string, stage_pos int")
+    read = lambda df: {(r.page_id, r.branch): r.join_stage for r in df.collect()}
+    assert read(graph.branch_joins(h, e, s, ["page_id"], cap=5)) == want  # with joins
+    monkeypatch.setattr(graph, "CELLS", 20)  # heads of one branch fall into several turns
+    part = graph._pack(s, e, ["page_id"], "stage_id", "stage_pos").toPandas()
+    asked = [{"g": p, "a": b, "b": x, "pos": None, "seed": True} for p, b, x in heads if x is not None]
+    import pandas as pd
+
+    frame = pd.concat([part[part["g"].isin(["a", "b", "c"])], pd.DataFrame(asked)], ignore_index=True).sort_values("g", kind="stable")
+    found = graph._joins_of_pages(frame)
+    assert {(r.g, r.node): r.join_stage for r in found.itertuples()} == want
+    monkeypatch.setattr(graph, "reach_rounds", None)  # no rounds of jobs for small pages
+    assert read(graph.branch_joins(h, e, s, ["page_id"])) == want
