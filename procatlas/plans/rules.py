@@ -280,7 +280,7 @@ _text = lambda x: "CAST(NULL AS string)" if x is None else f"'{x}'"  # noqa: E73
     for rule, severity, owner, page, stage, element, when in _ALL))
 def run_all_rules(spark, sf):
     """All fourteen rules, as they come, in one run over the rendered releases."""
-    findings, _ = run_rules(xml_estate(spark, sf), ALL_RULES)
+    findings, _ = run_rules(xml_estate(spark, sf, "stages", "edges"), ALL_RULES)
     return findings.select("release_id", "rule_id", "severity", located_owner().alias("owner_id"), "location.page_id", "location.stage_id", "location.element_id")
 
 
