@@ -73,6 +73,28 @@ def test_broken_foreign_and_bare_files(spark):
     assert [(r.owner_id, r.name) for r in e.owners.collect()] == [("solo-1", "Solo")]
 
 
+def test_tables_read_alone_agree_with_all_tables(spark):
+    """Pages, parameters and elements parsed on their own are those of the whole parse, on odd and broken files too."""
+    start = stage("s", "Start", '<inputs><input name="In" type="Number" stage="X"/><input type="odd"/></inputs><odd><deep a="1">x</deep>text</odd><onsuccess>e</onsuccess>')
+    end = stage("e", "End", '<outputs><output name="Out" stage="X"/></outputs>')
+    code = stage("c", "Code", '<code language="CSharp"><![CDATA[a < b </stage>]]></code><choices><choice><element>1</element><element>2</element></choice>words</choices>', "p2")
+    appdef = '<appdef><application name="A"/><element id="e1" name="N" mode="HTML"><attributes><attribute name="Id" value="a &amp; b" enabled="false"/></attributes></element><ELEMENT id="e2" mode="None"/></appdef>'
+    objects = f'<object id="O" name="Obj"><process name="Obj">{stage("x", "Read")}{appdef}</process></object><object id="H" name="Hollow"/><object id="E"><process/></object>'
+    whole = release([start, end, code, '<Stage stageid="t" type="End"/>', "<stage/>", "<stage>words</stage>"], objects=objects)
+    bare = f'<process name="Bare" preferredid="B">{start}{stage("q", "Start", page="p9")}{appdef}</process>'
+    texts = [whole, bare, '<process name="None"/>', whole[:-20], whole.replace('type="Number"', "type=Number"), whole.replace("</appdef>", "<a></b></appdef>"), "<html><p>no</p></html>", "", "<bpr:release/>"]
+    rows = files(spark, *texts)
+    alone, together = releases.direct_tables(rows), releases.normalize(rows)
+    for name in ("pages", "params", "elements"):
+        found, wanted = (getattr(e, name) for e in (alone, together))
+        assert found.schema.simpleString() == wanted.schema.simpleString()
+        assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect())) != []
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "_initialvalue" not in plan and "initialvalue" not in plan and "narrative:" not in plan
+    size = lambda of: sorted(map(tuple, releases.split_components(releases.parse(rows, of), of).selectExpr("release_id", "owner_type", "wrapper_name", "base_path", "size(def.stage) AS n").collect()), key=str)
+    assert size(releases.STAGE_IDS) == size(releases.DEFINITION) != []
+
+
 def test_structural_checks(spark):
     bad = release([
         stage("s", "Start", go("missing")), stage("s", "Anchor"), stage("l", "LoopStart", "<groupid>g</groupid>"), stage("self", "Anchor", go("self")),
