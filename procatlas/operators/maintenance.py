@@ -9,6 +9,7 @@ from procatlas.functions import text as t
 from procatlas.model import OWNER, PAGE, Estate
 from procatlas.operators import graph, similarity
 from procatlas.operators.engine import define_rule, make_finding
+from procatlas.operators.windows import join_null_safe
 
 NON_FLOW_KINDS = ("data", "collection", "note", "generic")
 ENTRY_KINDS = ("start", "recover")
@@ -93,13 +94,15 @@ def oversize(stages: DataFrame, process_limit: int = PROCESS_STAGE_LIMIT, page_l
         .groupBy("release_id", "owner_id", "owner_type", "page_id")
         .agg(F.count("*").alias("n"))
     )
-    per_owner = per_page.groupBy("release_id", "owner_id", "owner_type").agg(
-        F.sum("n").alias("stage_count"),
-        F.count_if(F.col("n") > page_limit).alias("large_pages"),
-        F.max("n").alias("largest_page"),
-        F.array_sort(F.collect_list(F.when(F.col("n") > page_limit, F.format_string('page "%s" has %d', "page_id", "n")))).alias("reasons"),
+    owner = ["release_id", "owner_id", "owner_type"]
+    per_owner = per_page.groupBy(*owner).agg(
+        F.sum("n").alias("stage_count"), F.count_if(F.col("n") > page_limit).alias("large_pages"), F.max("n").alias("largest_page")
     )
-    return per_owner.where((F.col("stage_count") > process_limit) | (F.col("large_pages") > 0))
+    # only large pages are listed: a list for every owner would be sorted and spilled
+    named = F.array_sort(F.collect_list(F.format_string('page "%s" has %d', "page_id", "n"))).alias("reasons")
+    reasons = per_page.where(F.col("n") > page_limit).groupBy(*owner).agg(named)
+    kept = per_owner.where((F.col("stage_count") > process_limit) | (F.col("large_pages") > 0))
+    return join_null_safe(kept, reasons, owner, "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
 
 
 @define_rule("MNT-004", "Oversized process", "medium", "maintainability",
