@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procatlas.operators import syntax
 from procatlas.plans.registry import query
-from procatlas.plans.rendered import K, render, xml_estate
+from procatlas.plans.rendered import K, render, xml_chosen
 from procatlas.plans.standin import table
 
 VALUES = {
@@ -74,5 +74,5 @@ SELECT concat('P', {K}) AS owner_id, 'calc' AS stage_id, 'unknown-function' AS i
 UNION ALL SELECT concat('P', {K}), 'say', 'unknown-reference', 'Card Number', 3 FROM orders WHERE o_orderkey % 8 = 0
 UNION ALL SELECT concat('P', {K}), 'get', 'unknown-reference', 'Queue', 1 FROM orders WHERE o_orderkey % 7 = 0""")
 def expression_issues(spark, sf):
-    e = xml_estate(spark, sf)
+    e = xml_chosen(spark, sf, True, stages="release_id owner_id page_id stage_id exprs", data_items="release_id owner_id name")
     return syntax.expression_issues(e.stages, e.data_items).select("owner_id", "stage_id", "issue", "detail", "place")
